@@ -15,7 +15,7 @@ def strip(col: Column) -> Column:
 
 def xml_text(col: Column) -> Column:
     """XML text: trimmed, runs of blanks made one space, empty becomes NULL."""
-    return F.nullif(strip(F.regexp_replace(col, r"(?U)\s+", " ")), F.lit(""))
+    return F.nullif(strip(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " ")), F.lit(""))
 
 
 def contains_any(col: Column, words) -> Column:

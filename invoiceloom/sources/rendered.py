@@ -382,3 +382,96 @@ def model_responses(invoices: DataFrame) -> DataFrame:
     return invoices.filter(F.col("doc_id") % 3 == 0).select(
         "doc_id", F.lit(1).alias("page"), raw.alias("raw_text")
     )
+
+
+def invoice_file() -> Column:
+    return F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+
+
+def expected_records(invoices: DataFrame) -> DataFrame:
+    """Ledger invoices as ground truth, amounts and rates as text."""
+    none = F.lit(None).cast("string")
+    doc = F.col("doc_id")
+    lines = F.transform(
+        "lines",
+        lambda x: F.struct(
+            x["rate"].cast("string").alias("tax_rate"),
+            x["base"].cast("string").alias("tax_base"),
+            x["amount"].cast("string").alias("tax_amount"),
+        ),
+    )
+    record = F.struct(
+        F.struct(
+            F.col("number").alias("number"),
+            F.col("issue_date").cast("string").alias("issue_date"),
+            none.alias("due_date"),
+        ).alias("invoice_data"),
+        F.struct(
+            F.col("supplier_name").alias("legal_name"), F.col("supplier_tax_id").alias("tax_id")
+        ).alias("supplier"),
+        F.struct(
+            F.col("customer_name").alias("legal_name"), F.col("customer_tax_id").alias("tax_id")
+        ).alias("customer"),
+        lines.alias("tax_lines"),
+        F.struct(
+            F.col("net").cast("string").alias("net_amount"),
+            F.col("tax").cast("string").alias("tax_amount"),
+            F.col("gross").cast("string").alias("gross_amount"),
+            none.alias("advance_amount"),
+            none.alias("withholding_amount"),
+        ).alias("totals"),
+    )
+    return invoices.select(
+        invoice_file().alias("invoice_file"),
+        F.when(doc % 3 == 0, "digital").when(doc % 3 == 1, "hybrid").otherwise("scanned").alias(
+            "invoice_type"
+        ),
+        record.alias("expected"),
+    )
+
+
+def planned_predictions(invoices: DataFrame) -> DataFrame:
+    """Predictions with planned mistakes, by document number:
+
+    doc % 7 = 1 no prediction, doc % 5 = 1 wrong number, doc % 8 = 3 no date,
+    doc % 9 = 4 seller written differently, doc % 10 = 5 no buyer name,
+    doc % 14 = 9 no buyer tax id, doc % 12 = 7 no tax lines, doc % 11 = 6 first
+    tax amount 1.00 off, doc % 6 = 2 gross 5.00 off, doc % 4 = 3 rates with places.
+    """
+    doc = F.col("doc_id")
+    record = F.col("expected")
+    places = F.when(doc % 4 == 3, F.lit(".00")).otherwise(F.lit(""))
+    off = F.when(doc % 11 == 6, 1).otherwise(0)
+
+    def amount(text: Column, more: Column) -> Column:
+        return (text.cast("decimal(18,2)") + more).cast("decimal(18,2)").cast("string")
+
+    lines = F.transform(
+        record["tax_lines"],
+        lambda x, i: F.struct(
+            F.concat(x["tax_rate"], places).alias("tax_rate"),
+            x["tax_base"].alias("tax_base"),
+            amount(x["tax_amount"], F.when(i == 0, off).otherwise(0)).alias("tax_amount"),
+        ),
+    )
+    supplier = record["supplier"]["legal_name"]
+    changed = (
+        record.withField("invoice_data.number", F.when(doc % 5 == 1, "X").otherwise(record["invoice_data"]["number"]))
+        .withField("invoice_data.issue_date", F.when(doc % 8 != 3, record["invoice_data"]["issue_date"]))
+        .withField(
+            "supplier.legal_name",
+            F.when(doc % 9 == 4, F.concat(F.upper(F.replace(supplier, F.lit(" "), F.lit("  "))), F.lit(",")))
+            .otherwise(supplier),
+        )
+        .withField("customer.legal_name", F.when(doc % 10 != 5, record["customer"]["legal_name"]))
+        .withField("customer.tax_id", F.when(doc % 14 != 9, record["customer"]["tax_id"]))
+        .withField("tax_lines", F.when(doc % 12 != 7, lines).otherwise(F.slice(lines, 1, 0)))
+        .withField(
+            "totals.gross_amount",
+            amount(record["totals"]["gross_amount"], F.when(doc % 6 == 2, 5).otherwise(0)),
+        )
+    )
+    numbered = expected_records(invoices).withColumn(
+        "doc_id", F.regexp_extract("invoice_file", "[0-9]+", 0).cast("bigint")
+    )
+    return numbered.filter(doc % 7 != 1).select("invoice_file", changed.alias("predicted"))
