@@ -28,8 +28,19 @@ def query(f):
 
 
 # ---- inputs -----------------------------------------------------------------
+_LEDGERS: dict = {}
+
+
 def invoices(spark, sf):
-    return led.ledger(spark, sf)
+    """The derived ledger, one row per invoice, kept between the queries of a session.
+
+    Landed invoice tables take its place outside these checks.  A lost executor
+    only costs the recomputation of its cached part.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LEDGERS:
+        _LEDGERS[key] = led.ledger(spark, sf).persist()
+    return _LEDGERS[key]
 
 
 def printed(spark, sf):

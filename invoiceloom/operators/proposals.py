@@ -64,9 +64,9 @@ def proposed_fields(recovered: DataFrame) -> DataFrame:
 
     Empty values are not proposed.
     """
-    r = recovered.filter(F.col("json").isNotNull()).withColumn(
-        "r", F.from_json("json", schemas.MODEL_RECORD)
-    )
+    # An answer without JSON gives a NULL record and so no rows; a filter here would
+    # only make the optimizer copy the whole recovery into its condition.
+    r = recovered.withColumn("r", F.from_json("json", schemas.MODEL_RECORD))
 
     def row(seq, name: Column, value: Column, confidence: float, index=None, part=None) -> Column:
         seq = F.lit(seq) if isinstance(seq, int) else seq

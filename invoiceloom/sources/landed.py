@@ -16,9 +16,10 @@ _SCHEMAS = {
 }
 
 
-def read_landed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A landed table by name, with its fixed schema."""
-    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}")
+def read_landed(spark: SparkSession, folder: str, name: str, partitions: str = "") -> DataFrame:
+    """A landed table by name, with its fixed schema and its partition columns, if any."""
+    schema = _SCHEMAS[name] + (f", {partitions}" if partitions else "")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> dict:

@@ -290,6 +290,10 @@ def attachments(invoices: DataFrame) -> DataFrame:
         _element("InvoiceTotal", number(F.col("gross"))),
         F.lit("</InvoiceTotals></FacturaeBody></fe:Facturae>"),
     )
+    staged = invoices.filter(F.col("made_as") == "embedded_xml").select(
+        "doc_id", "number", record.alias("record")
+    )
+    record = F.col("record")
     whole = (
         F.when(shape == 4, F.replace(record, F.lit("</fe:Facturae>"), F.lit("")))
         .when(
@@ -303,21 +307,18 @@ def attachments(invoices: DataFrame) -> DataFrame:
         .otherwise(record)
     )
 
-    def file(seq: int, name: Column, raw: Column) -> Column:
-        return F.struct(F.lit(seq).alias("att_seq"), name.alias("filename"), raw.alias("raw_xml"))
+    def file(seq: Column, name: Column, raw: Column) -> Column:
+        return F.struct(seq.alias("att_seq"), name.alias("filename"), raw.alias("raw_xml"))
 
-    files = F.when(
-        shape == 1,
-        F.array(
-            file(0, F.lit("anexo.xml"), F.lit("<Anexo>x</Anexo>")),
-            file(1, F.lit(" Factura.XML "), whole),
-        ),
-    ).otherwise(
-        F.array(
-            file(0, F.when(shape == 6, F.lit("xml-notas.txt")).otherwise(F.lit("factura.xml")), whole)
-        )
+    name = (
+        F.when(shape == 1, F.lit(" Factura.XML "))
+        .when(shape == 6, F.lit("xml-notas.txt"))
+        .otherwise(F.lit("factura.xml"))
     )
-    return invoices.filter(F.col("made_as") == "embedded_xml").select("doc_id", F.inline(files))
+    own = file((shape == 1).cast("int"), name, whole)
+    foreign = file(F.lit(0), F.lit("anexo.xml"), F.lit("<Anexo>x</Anexo>"))
+    files = F.array_compact(F.array(F.when(shape == 1, foreign), own))
+    return staged.select("doc_id", F.inline(files))
 
 
 def model_responses(invoices: DataFrame) -> DataFrame:
@@ -373,15 +374,15 @@ def model_responses(invoices: DataFrame) -> DataFrame:
         tail,
         F.lit("}"),
     )
+    staged = invoices.filter(F.col("doc_id") % 3 == 0).select("doc_id", record.alias("record"))
+    record = F.col("record")
     raw = (
         F.when(writing == 1, F.concat(F.lit("```json\n"), record, F.lit("\n```")))
         .when(writing == 2, F.concat(F.lit("Resultado: "), record, F.lit(" Fin.")))
         .when(writing == 4, F.lit("No veo ninguna factura en la imagen."))
         .otherwise(record)
     )
-    return invoices.filter(F.col("doc_id") % 3 == 0).select(
-        "doc_id", F.lit(1).alias("page"), raw.alias("raw_text")
-    )
+    return staged.select("doc_id", F.lit(1).alias("page"), raw.alias("raw_text"))
 
 
 def invoice_file() -> Column:
