@@ -135,39 +135,36 @@ def block_facts(blocks: DataFrame) -> DataFrame:
             ),
         )
 
-    def amount(fact: str, place: int, column: str, confidence: float) -> Column:
-        return F.when(F.col(column).isNotNull(), _fact(fact, place, F.col(column), confidence))
-
     def date(column: str) -> Column:
         return _fact("issue_date", 3, F.translate(F.col(column), "/.", "--"), fv.CONF_DATE)
 
-    single = F.array_compact(
-        F.array(
-            F.when(F.col("opens").isNotNull(), _fact("opens", 0, F.col("opens"), None)),
-            F.when(
-                F.col("name_confidence").isNotNull(),
-                _fact("name", 1, line, F.col("name_confidence")),
-            ),
-            F.when(F.col("number") != "", _fact("number", 2, F.col("number"), fv.CONF_NUMBER)),
-            F.when(F.col("day_first") != "", date("day_first")).when(
-                F.col("year_first") != "", date("year_first")
-            ),
-            tax_id("supplier_tax_id", 4, "seller_id", "seller_dashed"),
-            tax_id("customer_tax_id", 5, "buyer_id", "buyer_dashed"),
-            amount("tax", 6, "tax", fv.CONF_TAX),
-            amount("gross", 7, "gross", fv.CONF_GROSS),
-            amount("net", _FACT_BASE, "base", fv.CONF_NET),
-        )
+    single = F.array(
+        _fact("opens", 0, F.col("opens"), None),
+        F.when(
+            F.col("name_confidence").isNotNull(), _fact("name", 1, line, F.col("name_confidence"))
+        ),
+        F.when(F.col("number") != "", _fact("number", 2, F.col("number"), fv.CONF_NUMBER)),
+        F.when(F.col("day_first") != "", date("day_first")).when(
+            F.col("year_first") != "", date("year_first")
+        ),
+        tax_id("supplier_tax_id", 4, "seller_id", "seller_dashed"),
+        tax_id("customer_tax_id", 5, "buyer_id", "buyer_dashed"),
+        _fact("tax", 6, F.col("tax"), fv.CONF_TAX),
+        _fact("gross", 7, F.col("gross"), fv.CONF_GROSS),
+        _fact("net", _FACT_BASE, F.col("base"), fv.CONF_NET),
     )
     in_range = F.filter(
-        F.coalesce("pairs", F.array()),
+        "pairs",
         lambda p: p["rate"].between(fv.TEXT_RATE_MIN, fv.TEXT_RATE_MAX) & p["amount"].isNotNull(),
     )
     pairs = F.transform(
         in_range,
         lambda p, i: _fact("pair", i + _FACT_PAIR, p["amount"], fv.CONF_TAX_LINE, p["rate"]),
     )
-    return values.select("doc_id", *READING_ORDER, "bbox", "source", F.inline(F.concat(single, pairs)))
+    everything = F.when(F.col("pairs").isNull(), single).otherwise(F.concat(single, pairs))
+    return values.select("doc_id", *READING_ORDER, "bbox", "source", F.inline(everything)).filter(
+        F.col("value").isNotNull()
+    )
 
 
 _FACT_ORDER = (*READING_ORDER, "fact_seq")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from .. import schemas
-from ..functions import normalize_legal_name
+from ..functions import normalize_legal_name, plain_rate
 
 DECIMAL = "decimal(28,6)"
 
@@ -248,7 +248,16 @@ def passes(results: DataFrame) -> DataFrame:
 def response_as_text(responses: DataFrame) -> DataFrame:
     """Finished responses in the form records are scored in."""
     invoice = F.col("invoice")
+    record = F.struct(
+        invoice["invoice_data"].alias("invoice_data"),
+        invoice["supplier"].alias("supplier"),
+        invoice["customer"].alias("customer"),
+        F.transform(
+            invoice["tax_lines"], lambda x: x.withField("tax_rate", plain_rate(x["tax_rate"]))
+        ).alias("tax_lines"),
+        invoice["totals"].alias("totals"),
+    )
     return responses.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("invoice_file"),
-        F.when(invoice.isNotNull(), invoice.cast(schemas.RECORD_TEXT)).alias("predicted"),
+        F.when(invoice.isNotNull(), record.cast(schemas.RECORD_TEXT)).alias("predicted"),
     )
