@@ -139,8 +139,10 @@ def test_extraction_scored_against_its_ledger(spark, sf):
     inv, tables = landed_tables(spark, sf, "doc_id < 60")
     predicted = ev.response_as_text(corpus.extract_invoices(tables))
     results = ev.evaluate_fields(ev.pair_records(ren.expected_records(inv), predicted))
-    # Plain digital invoices with separators only where they are read right come back whole.
-    clean = results.filter("invoice_file in ('doc_3.pdf', 'doc_5.pdf', 'doc_9.pdf')")
-    assert clean.filter("field_path in ('invoice_data.number', 'supplier.tax_id', 'totals')").filter("match").count() == 9
-    order = results.filter("invoice_file = 'doc_3.pdf'").agg(F.avg("score")).collect()[0][0]
-    assert 0.8 < order <= 1.0
+    exact = results.filter("field_path in ('invoice_data.number', 'supplier.tax_id', 'totals')")
+    got = {(r.invoice_file, r.field_path): r.match for r in exact.collect()}
+    # Without a planned defect number, id and totals come back as printed.
+    for file in ("doc_3.pdf", "doc_5.pdf"):
+        assert all(match for (f, _), match in got.items() if f == file)
+    # doc % 31 = 9: the gross amount stands first, so net and tax are not read.
+    assert got["doc_9.pdf", "invoice_data.number"] and not got["doc_9.pdf", "totals"]
