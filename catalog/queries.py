@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from invoiceloom import fixed_values as fv
 from invoiceloom import functions as fn
 from invoiceloom import schemas
-from invoiceloom.functions.tax_ids import cif_control_digit
 from invoiceloom.operators import evaluate as ev
 from invoiceloom.operators import metrics, prepare, proposals, resolve, validate, xml_records
 from invoiceloom.operators import candidates as cand
 from invoiceloom.operators import tax_tables as tt
-from invoiceloom.plans import corpus, proposal_plan, records, xml_plan
+from invoiceloom.plans import corpus, proposal_plan, xml_plan
 from invoiceloom.sources import landed, ledger as led, rendered as ren
 
 QUERIES: dict = {}
