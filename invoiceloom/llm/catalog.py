@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import line_dedup, warc
+from invoiceloom.llm import line_dedup, quality_classifier, quality_rules, warc
+from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,15 +24,31 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(documents, table(spark, sf_dir, "labels"))
+    score = quality_classifier.quality_score(model, F.col("text"))
+    scored = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_classifier.THRESHOLD).cast("int"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "op8-warc")
     warc.write_warc(warc.plan_records(table(spark, sf_dir, "pages")), path)
     return warc.read_records(spark, path)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(documents, table(spark, sf_dir, "labels"))
+    return quality_rules.with_rules(documents, model).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_warc": op8_warc,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 BLANK_CHARACTERS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
