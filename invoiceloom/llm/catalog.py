@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import line_dedup, packing, quality_classifier, quality_rules, warc
+from invoiceloom.llm import line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
@@ -30,6 +30,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.train(documents, table(spark, sf_dir, "labels"))
@@ -57,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
