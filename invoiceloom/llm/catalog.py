@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from invoiceloom.llm import embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
@@ -24,6 +24,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_shared_lines(documents)
@@ -60,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
