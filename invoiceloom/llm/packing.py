@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ SALTS = 64
 SEARCH_NODES = 60_000
 FILLINGS_TRIED = 4
 FILLING_STEPS = 400
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+WORDS_AT_ONCE = 500
+MARK = "\x01"
 SLICE_CHARACTERS = 1 << 20
 
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -42,7 +45,8 @@ WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 class WordEncoder:
     """Ids of words that white space separates, from a tokenizer whose tokens never reach across white space.
 
-    The tokenizer gets every distinct word once for as long as the bounded cache holds it; a text is the concatenation of its words.
+    The tokenizer gets a distinct word once for as long as the bounded cache holds it; a text is the concatenation of its words. New words go
+    to the tokenizer many at a time, with a mark between them whose id tells where one ends.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,17 +55,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
+        if len(self.cache) > CACHE_WORDS // 2:
+            self.cache, self.older = {}, self.cache
+        new, alone = [], []
+        for word in words:
+            if word not in self.cache:
+                known = self.older.get(word)
+                if known is not None:
+                    self.cache[word] = known
+                elif MARK in word or self.mark_id is None:
+                    alone.append(word)
+                else:
+                    new.append(word)
+        for word in alone:
+            self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id) * 4
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
+                self.cache[word] = raw[start:end]
+                start = end + 4
 
     def encode(self, text: str) -> list[bytes]:
         """Ids as little-endian 32-bit numbers, in parts."""
@@ -78,6 +99,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_encoder(tokenizer_json: str) -> WordEncoder:
+    """One for each worker process, kept from task to task."""
+    return WordEncoder(tokenizer_json)
+
+
 def piece_rows(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", length: int = SEQUENCE) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): texts encoded, ended by id 0 and cut where longer than ``length``.
 
@@ -87,7 +114,7 @@ def piece_rows(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", te
         tokenizer_json = file.read()  # 2 MB, sent along with the task's code
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_json)
+        encoder = word_encoder(tokenizer_json)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
