@@ -107,13 +107,17 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("slot", pa.int32()), ("seen", pa.int64())])
         for batch in batches:
-            size, digests, sketches, slots = [], [], [], []
+            size, digests, sketches, slots, held = [], [], [], [], 0
             for s in shingle_sets(batch.column(1), words):
                 size.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
                 sketches.append(bit_sketch(s))
                 for band, parts, _ in bands(len(s), percent) if len(s) else ():
                     slots.append(key_slots(part_keys(s, band, parts)))
+                    held += len(slots[-1])
+                if held > 200_000:
+                    counts += np.bincount(np.concatenate(slots), minlength=len(counts))
+                    slots, held = [], 0
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=len(counts))
             n = batch.num_rows
@@ -163,11 +167,14 @@ def few_enough(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent
     return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
 
 
+def id_slot() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+
+
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that holds the hashes of all given ids."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     rows = (
-        ids.select(slot.alias("slot"))
+        ids.select(id_slot().alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("at"))
         .agg(F.expr("bit_or(shiftleft(1L, int(slot & 63)))").alias("bits"))
         .toArrow()
@@ -183,7 +190,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     bitmap = id_filter(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            slot = np.asarray(whole.column(2))
+            batch = whole.filter(pa.array((bitmap[slot >> 6] >> (slot & 63)) & 1 == 1))
             ids, held, out, which = batch.column(0), 0, [], []
             for i, s in enumerate(shingle_sets(batch.column(1), words)):
                 out.append(s.tobytes())
@@ -195,11 +204,6 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
             if out:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(out, pa.binary())], ["id", "shingles"])
 
-    @F.arrow_udf("boolean")
-    def may_be(slot: pa.Array) -> pa.Array:
-        s = np.asarray(slot)
-        return pa.array((bitmap[s >> 6] >> (s & 63)) & 1 == 1)
-
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
@@ -209,7 +213,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    told = texts.where(may_be(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)))).mapInArrow(sets, "id long, shingles binary")
+    told = texts.select("id", "text", id_slot().alias("slot")).mapInArrow(sets, "id long, shingles binary")
     left = pairs.join(told.select(F.col("id").alias("u"), F.col("shingles").alias("left")), "u")
     met = left.join(told.select(F.col("id").alias("v"), F.col("shingles").alias("right")), "v")
     return met.where(similar("left", "right")).select("u", "v")
