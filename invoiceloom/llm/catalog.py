@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from invoiceloom.llm import byte_bpe, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
@@ -34,6 +34,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decoder(path)(F.col("ids"))
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_warc": op8_warc,
