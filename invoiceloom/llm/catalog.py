@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import byte_bpe, embedding_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from invoiceloom.llm import byte_bpe, chat_roles, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
@@ -18,6 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_roles.repaired(table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "turn", "action", "new_role", "inserted", "cost", F.sha2("segment", 256).alias("segment_sha256"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    matches = F.col("license_matches")
+    names = F.array_join(F.array_sort(F.array_distinct(matches["license"])), ",")
+    best = F.array_max(matches["dice"])
+    return found.select(
+        "doc_id", F.size(matches).cast("long").alias("n_matches"), names.alias("licenses"), F.round(best, 6).alias("best_dice")
+    )
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -74,6 +89,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_chat_roles": op2_chat_roles,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -86,6 +103,15 @@ QUERIES: dict[str, Query] = {
 BLANK_CHARACTERS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEMPLATE_ROWS = ", ".join(
+    f"({i}, {quoted(name)}, {license_scan.template_bigrams(text)!r})" for i, (name, text) in enumerate(license_scan.TEMPLATES)
+)
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
         WITH lines AS (
@@ -113,4 +139,24 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> largest THEN largest END AS refers_to
         FROM grouped""",
+    "op3_license_scan": f"""
+        WITH templates(number, license, grams) AS (VALUES {TEMPLATE_ROWS}),
+        units AS (
+            SELECT doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_prepend(body, parts) ELSE parts END) AS unit
+            FROM (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+        worded AS (
+            SELECT doc_id, list_filter(string_split(regexp_replace(translate(unit, {LOWER}),
+                '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM units),
+        bigrams AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS own
+            FROM worded WHERE len(words) > 1),
+        scored AS (
+            SELECT b.doc_id, t.license, 2.0 * len(list_intersect(b.own, t.grams)) / (len(b.own) + len(t.grams)) AS dice
+            FROM bigrams b JOIN templates t
+                ON 75 * len(b.own) <= 125 * len(t.grams) AND 75 * len(t.grams) <= 125 * len(b.own)),
+        matched AS (SELECT * FROM scored WHERE 100 * dice >= 75)
+        SELECT d.doc_id, count(m.license) AS n_matches,
+            coalesce(array_to_string(list_sort(list_distinct(list(m.license) FILTER (m.license IS NOT NULL))), ','), '') AS licenses,
+            round(max(m.dice), 6) AS best_dice
+        FROM documents d LEFT JOIN matched m USING (doc_id) GROUP BY d.doc_id""",
 }
