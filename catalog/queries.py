@@ -1,8 +1,6 @@
 """Registered queries.
 
-Every one reads the given tables, whole, or invoices derived from them.  Printed
-invoices hold at most 17 lines, so extraction skips the check for over-long
-documents; callers with unknown input leave ``max_blocks_per_task`` alone.
+Every one reads the given tables, whole, or invoices derived from them.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +49,7 @@ def blocks(spark, sf):
 
 
 def findings(spark, sf):
-    return cand.document_findings(blocks(spark, sf), None)
+    return cand.document_findings(blocks(spark, sf))
 
 
 def corpus_tables(spark, sf):
@@ -68,7 +66,7 @@ def corpus_tables(spark, sf):
 
 def kinds(spark, sf):
     t = corpus_tables(spark, sf)
-    return prepare.classify(t["page_text"], t["page_images"], t["attachments"])
+    return prepare.classify(*[t[name] for name in corpus.TABLES])
 
 
 def cells(spark, sf):
@@ -224,7 +222,7 @@ def s9_prediction_keys(spark, sf):
 def s10_response_json(spark, sf):
     """Responses as JSON text, read back by path."""
     t = corpus_tables(spark, sf)
-    shaped = landed.response_json(corpus.extract_invoices(t, max_blocks_per_task=None))
+    shaped = landed.response_json(corpus.extract_invoices(t))
     j = shaped.select("doc_id", F.to_json(F.struct(*[c for c in shaped.columns if c != "doc_id"])).alias("j"))
     return j.select(
         "doc_id",
@@ -260,7 +258,7 @@ def d1_xml_flag(spark, sf):
 
 @query
 def d2_classify(spark, sf):
-    return kinds(spark, sf)
+    return kinds(spark, sf).drop("n_lines")
 
 
 @query
@@ -281,7 +279,7 @@ def d4_routes(spark, sf):
 @query
 def d5_rejections(spark, sf):
     t = corpus_tables(spark, sf)
-    k = prepare.classify(t["page_text"], t["page_images"], t["attachments"])
+    k = prepare.classify(*[t[name] for name in corpus.TABLES])
     routed = k.withColumn("route", prepare.route(F.col("kind")))
     rows = [
         prepare.rejected(k, "digital").withColumn("branch", F.lit("digital")),
@@ -497,7 +495,7 @@ def c4_customer_tax_id(spark, sf):
 @query
 def c5_sections(spark, sf):
     """Section each name line stands in."""
-    facts = cand._in_reading_order(cand.block_facts(blocks(spark, sf)))
+    facts = cand.findings_in_order(blocks(spark, sf))
     return facts.filter((F.col("fact") == "name") & F.col("section").isNotNull()).select(
         "doc_id", "page", "block_seq", "section"
     )
@@ -725,7 +723,7 @@ def x7_first_record(spark, sf):
 
 def _xml_responses(spark, sf):
     t = corpus_tables(spark, sf)
-    k = prepare.classify(t["page_text"], t["page_images"], t["attachments"])
+    k = prepare.classify(*[t[name] for name in corpus.TABLES])
     return xml_plan.xml_branch(k.filter(F.col("kind") == "embedded_xml"), t["attachments"])
 
 
@@ -765,7 +763,7 @@ def m2_proposed_fields(spark, sf):
 
 @query
 def m3_model_work_list(spark, sf):
-    r = corpus.extract_invoices(corpus_tables(spark, sf), max_blocks_per_task=None)
+    r = corpus.extract_invoices(corpus_tables(spark, sf))
     return proposals.model_work_list(r).select("doc_id", F.array_join("codes", "|").alias("codes"))
 
 
@@ -789,7 +787,7 @@ def m6_proposal_records(spark, sf):
 
 
 def _merged(spark, sf):
-    r = corpus.extract_invoices(corpus_tables(spark, sf), max_blocks_per_task=None)
+    r = corpus.extract_invoices(corpus_tables(spark, sf))
     return proposal_plan.merge_proposals(
         r, recovered(spark, sf), proposal_plan.proposal_records(proposal_candidates(spark, sf))
     )
@@ -802,7 +800,7 @@ def m7_merged_records(spark, sf):
 
 @query
 def m8_response_signals(spark, sf):
-    r = corpus.extract_invoices(corpus_tables(spark, sf), max_blocks_per_task=None)
+    r = corpus.extract_invoices(corpus_tables(spark, sf))
     return proposals.response_signals(r).select(
         "doc_id", F.array_join("missing", "|").alias("missing"), "is_scanned", "tax_unresolved"
     )
@@ -893,11 +891,11 @@ def r9_resolved_documents(spark, sf):
 # ---- records ----------------------------------------------------------------
 def _branch(spark, sf, name):
     t = corpus_tables(spark, sf)
-    k = prepare.classify(t["page_text"], t["page_images"], t["attachments"])
+    k = prepare.classify(*[t[name] for name in corpus.TABLES])
     docs = k.filter(prepare.route(F.col("kind")) == name)
     if name == "digital":
-        return corpus.text_branch(docs, t["blocks"], "digital", max_blocks_per_task=None)
-    return corpus.ocr_branch(docs, t["ocr_lines"], max_blocks_per_task=None)
+        return corpus.text_branch(docs, t["blocks"], "digital")
+    return corpus.ocr_branch(docs, t["ocr_lines"])
 
 
 @query
@@ -920,7 +918,7 @@ def a3_paired_tax_lines(spark, sf):
 
 
 def _all_responses(spark, sf):
-    return corpus.extract_invoices(corpus_tables(spark, sf), max_blocks_per_task=None)
+    return corpus.extract_invoices(corpus_tables(spark, sf))
 
 
 @query

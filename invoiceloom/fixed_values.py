@@ -108,7 +108,6 @@ ROW_AMOUNT_TOLERANCE = "0.50"
 
 # ---- document kinds, sources, routes ---------------------------------------
 HYBRID_TEXT_BELOW = 50
-XML_FORMAT_PREFIX = 4096
 SOURCE_PRIORITY = {"xml": 1, "digital_text": 2, "ocr": 3, "layout": 4, "vlm": 5}
 
 # ---- nine resolved fields, in this order -----------------------------------
@@ -154,7 +153,6 @@ PROPOSAL_CONF_FIELD = 1.0
 PROPOSAL_CONF_AMOUNT = 0.9
 MODEL_GLOBAL_BELOW = 0.6
 MODEL_FIELD_BELOW = 0.6
-NULL_ANSWER_BELOW = 200
 
 # ---- messages --------------------------------------------------------------
 UNKNOWN_NAME = "Desconocido"

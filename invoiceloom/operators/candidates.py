@@ -1,21 +1,22 @@
 """Field candidates from text blocks.
 
 One projection reads every pattern off a block; blocks without any finding stop
-there.  The rest is shuffled once by document: windows in reading order carry the
-open section forward and the next tax base backward, and aggregates that need no
-further exchange keep the first finding of each field.
+there.  The rest is shuffled once by page: windows in reading order carry the open
+section forward and the next tax base backward inside a page, and one small row per
+page carries them across pages.  Aggregates keep the first finding of each field.
+So no task needs more than a page in order, however long a document is.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import MONEY, matched_amount, strip
 from ..functions.tax_rates import RATE, pointed_rate
-from ..session import reliable_checkpoint
 
 READING_ORDER = ("page", "y0", "block_seq")
-MAX_BLOCKS_PER_TASK = 500_000
 _FIRST_FIELDS = ("number", "issue_date", "supplier_tax_id", "customer_tax_id", "net", "tax", "gross")
 # Inside one block a tax pair stands before the base, so it may take a base of its own block.
 _FACT_PAIR, _FACT_BASE = 100, 1_000_000
@@ -51,6 +52,13 @@ def _fact(fact, place: int, value: Column, confidence, rate: Column | None = Non
     )
 
 
+def text_after(text: Column, pattern: str) -> Column:
+    """What follows the first character of the first match, cut by pattern: offsets count
+    differently for characters that need two units."""
+    groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern))
+    return F.regexp_extract(text, f"(?s)(?=(?:{pattern})).(.*)", groups + 1)
+
+
 def block_facts(blocks: DataFrame) -> DataFrame:
     """Everything a block tells by itself, one row per fact.
 
@@ -74,7 +82,7 @@ def block_facts(blocks: DataFrame) -> DataFrame:
         text.rlike(fv.DATE_WORDS).alias("is_date"),
     )
     seller, buyer = F.col("seller"), F.col("buyer")
-    after_buyer = F.substring(text, F.regexp_instr(text, F.lit(fv.BUYER_WORDS)) + 1, F.length(text))
+    after_buyer = text_after(text, fv.BUYER_WORDS)
 
     def date_part(pattern: str) -> Column:
         return F.when(F.col("is_date"), F.regexp_extract(text, pattern, 0))
@@ -168,99 +176,80 @@ def block_facts(blocks: DataFrame) -> DataFrame:
 
 
 _FACT_ORDER = (*READING_ORDER, "fact_seq")
+_SECTIONS = ("supplier", "customer")
 
 
 def _value_of(fact: str) -> Column:
     return F.when(F.col("fact") == fact, F.col("value"))
 
 
-def _next_base(partition: str) -> Column:
-    """Base amount at or after a row, in reading order."""
-    return F.expr(
-        "lead(case when fact = 'net' then value end) ignore nulls over "
-        f"(partition by {partition} order by {', '.join(_FACT_ORDER)})"
-    )
-
-
 def _in_reading_order(facts: DataFrame) -> DataFrame:
-    """Section, next base and rank of names for documents that fit one task."""
-    w = Window.partitionBy("doc_id").orderBy(*_FACT_ORDER)
+    """Section, next base and rank of names.
+
+    Windows work inside a page.  What crosses pages is one row per page: the section it
+    leaves open, its first base, and how many names it has in each section and before any.
+    """
+    w = Window.partitionBy("doc_id", "page").orderBy(*_FACT_ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = facts.withColumns(
+    local = facts.withColumns(
         {
-            "section": F.last(_value_of("opens"), ignorenulls=True).over(so_far),
-            "next_base": _next_base("doc_id"),
+            "section_here": F.last(_value_of("opens"), ignorenulls=True).over(so_far),
+            "base_here": F.expr(
+                "lead(case when fact = 'net' then value end) ignore nulls over "
+                f"(partition by doc_id, page order by {', '.join(_FACT_ORDER)})"
+            ),
         }
     )
+    at = F.struct(*_FACT_ORDER, "value")
+    is_name = F.col("fact") == "name"
 
-    def count_of(section: str) -> Column:
-        return F.count(F.when((F.col("fact") == "name") & (F.col("section") == section), 1)).over(
-            so_far
-        )
+    def names(condition: Column) -> Column:
+        return F.count(F.when(is_name & condition, 1))
 
-    return carried.withColumn(
-        "name_rank",
-        F.when(F.col("section") == "supplier", count_of("supplier")).when(
-            F.col("section") == "customer", count_of("customer")
-        ),
+    pages = local.groupBy("doc_id", "page").agg(
+        F.max(F.when(F.col("fact") == "opens", at))["value"].alias("opened_last"),
+        F.min(F.when(F.col("fact") == "net", at))["value"].alias("first_base"),
+        names(F.col("section_here").isNull()).alias("names_unopened"),
+        *[names(F.col("section_here") == x).alias(f"names_{x}") for x in _SECTIONS],
+    )
+    by_page = Window.partitionBy("doc_id").orderBy("page")
+    before = by_page.rowsBetween(Window.unboundedPreceding, -1)
+    carried = pages.withColumns(
+        {
+            "section_before": F.last("opened_last", ignorenulls=True).over(before),
+            "base_after": F.expr("lead(first_base) ignore nulls over (partition by doc_id order by page)"),
+        }
     )
 
+    def on_page(section: str) -> Column:
+        inherited = F.when(F.col("section_before") == section, F.col("names_unopened")).otherwise(0)
+        return F.col(f"names_{section}") + inherited
 
-def _in_reading_order_chunked(facts: DataFrame) -> DataFrame:
-    """The same for documents too long for one task.
-
-    Range partitioning cuts them into runs that keep reading order.  Windows work
-    inside a run; what crosses a run's border is one small row per run.  The runs
-    are checkpointed because both of their uses must see the same cuts.
-    """
-    runs = reliable_checkpoint(
-        facts.repartitionByRange("doc_id", *_FACT_ORDER).withColumn("run", F.spark_partition_id())
-    )
-    w = Window.partitionBy("doc_id", "run").orderBy(*_FACT_ORDER)
-    at = F.struct(*_FACT_ORDER, "value")
-    ends = runs.groupBy("doc_id", "run").agg(
-        F.max(F.when(F.col("fact") == "opens", at)).alias("last_opens"),
-        F.min(F.when(F.col("fact") == "net", at)).alias("first_base"),
+    borders = carried.select(
+        F.col("doc_id").alias("border_doc"),
+        F.col("page").alias("border_page"),
+        "section_before",
+        "base_after",
+        *[F.coalesce(F.sum(on_page(x)).over(before), F.lit(0)).alias(f"{x}_before") for x in _SECTIONS],
     )
-    before = (
-        Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    borders = ends.select(
-        "doc_id",
-        "run",
-        F.last("last_opens.value", ignorenulls=True).over(before).alias("section_before"),
-        F.expr(
-            "lead(first_base.value) ignore nulls over (partition by doc_id order by run)"
-        ).alias("base_after"),
-    )
-    local = runs.withColumns(
+    here = (F.col("doc_id") == F.col("border_doc")) & F.col("page").eqNullSafe(F.col("border_page"))
+    met = local.join(borders, here).withColumns(
         {
-            "section": F.last(_value_of("opens"), ignorenulls=True).over(
-                w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-            "next_base": _next_base("doc_id, run"),
+            "section": F.coalesce("section_here", "section_before"),
+            "next_base": F.coalesce("base_here", "base_after"),
         }
     )
-    carried = (
-        local.join(borders, ["doc_id", "run"])
-        .withColumn("section", F.coalesce("section", "section_before"))
-        .withColumn("next_base", F.coalesce("next_base", "base_after"))
-        .drop("section_before", "base_after", "run")
-    )
-    is_name = F.col("fact") == "name"
-    ranked = (
-        carried.filter(is_name & F.col("section").isNotNull())
-        .withColumn(
-            "name_rank",
-            F.row_number().over(Window.partitionBy("doc_id", "section").orderBy(*_FACT_ORDER)),
-        )
-        .filter(F.col("name_rank") <= fv.NAMES_KEPT_PER_SECTION)
+
+    def rank_in(section: str) -> Column:
+        mine = is_name & (F.col("section") == section)
+        return F.when(mine, F.count(F.when(mine, 1)).over(so_far) + F.col(f"{section}_before"))
+
+    return met.withColumn("name_rank", F.coalesce(*[rank_in(x) for x in _SECTIONS])).select(
+        *facts.columns, "section", "next_base", "name_rank"
     )
-    other = carried.filter(~is_name).withColumn("name_rank", F.lit(None).cast("int"))
-    return other.unionByName(ranked)
 
 
-def _first_findings(ordered: DataFrame) -> DataFrame:
+def _first_findings(ordered: DataFrame, names_per_section: int) -> DataFrame:
     """One row per document with the first finding of each field.
 
     Grouping goes by (document, rate) and then by document; a document has at
@@ -269,8 +258,8 @@ def _first_findings(ordered: DataFrame) -> DataFrame:
     hit = F.struct(*READING_ORDER, "value", "confidence", "bbox", "source")
     is_name = F.col("fact") == "name"
     fields = {f: F.min(F.when(F.col("fact") == f, hit)) for f in _FIRST_FIELDS}
-    for section in ("supplier", "customer"):
-        for rank in range(1, fv.NAMES_KEPT_PER_SECTION + 1):
+    for section in _SECTIONS:
+        for rank in range(1, names_per_section + 1):
             mine = is_name & (F.col("section") == section) & (F.col("name_rank") == rank)
             fields[f"{section}_name_{rank}"] = F.min(F.when(mine, hit))
     tax_line = F.min(
@@ -295,29 +284,23 @@ def _first_findings(ordered: DataFrame) -> DataFrame:
     )
 
 
+def findings_in_order(blocks: DataFrame) -> DataFrame:
+    """Facts of all blocks with the section they stand in, the next base and the rank of names."""
+    return _in_reading_order(block_facts(blocks))
+
+
 def document_findings(
-    blocks: DataFrame, max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK
+    blocks: DataFrame, names_per_section: int = fv.NAMES_KEPT_PER_SECTION
 ) -> DataFrame:
-    """First findings of every document that has any.
+    """First findings of every document that has any, whatever its length.
 
-    Documents with more blocks than one task should sort go the chunked way; a
-    count over ``doc_id`` alone finds them.  ``None`` skips the count, for input
-    whose documents are known to be short.
+    ``names_per_section`` company names are weighed in each section, the first ones in
+    reading order; later names of a section don't count, even if they look better.
     """
-    facts = block_facts(blocks)
-    if max_blocks_per_task is None:
-        return _settle(_first_findings(_in_reading_order(facts)))
-    long_docs = (
-        blocks.groupBy("doc_id").count().filter(F.col("count") > max_blocks_per_task).select("doc_id")
-    )
-    if long_docs.isEmpty():
-        return _settle(_first_findings(_in_reading_order(facts)))
-    short = _in_reading_order(facts.join(long_docs, "doc_id", "left_anti"))
-    long = _in_reading_order_chunked(facts.join(long_docs, "doc_id", "left_semi"))
-    return _settle(_first_findings(short).unionByName(_first_findings(long)))
+    return _settle(_first_findings(findings_in_order(blocks), names_per_section), names_per_section)
 
 
-def _settle(first: DataFrame) -> DataFrame:
+def _settle(first: DataFrame, names_per_section: int) -> DataFrame:
     """Totals found after the gross block do not count; the better of two names wins."""
 
     def block_of(total: str) -> Column:
@@ -329,8 +312,11 @@ def _settle(first: DataFrame) -> DataFrame:
         )
 
     def better(section: str) -> Column:
-        one, two = F.col(f"{section}_name_1"), F.col(f"{section}_name_2")
-        return F.when(two["confidence"] > one["confidence"], two).otherwise(one)
+        best = F.col(f"{section}_name_1")
+        for rank in range(2, names_per_section + 1):
+            name = F.col(f"{section}_name_{rank}")
+            best = F.when(name["confidence"] > best["confidence"], name).otherwise(best)
+        return best
 
     return first.withColumns(
         {
@@ -408,8 +394,9 @@ def candidates(findings: DataFrame) -> DataFrame:
         _candidate("supplier.tax_id", F.col("supplier_tax_id"), 2, normalized=True),
         _candidate("customer.tax_id", F.col("customer_tax_id"), 3, normalized=True),
     ]
-    for i, section in enumerate(("supplier", "customer")):
-        for rank in range(1, fv.NAMES_KEPT_PER_SECTION + 1):
+    kept = sum(c.startswith("supplier_name_") for c in findings.columns)
+    for i, section in enumerate(_SECTIONS):
+        for rank in range(1, kept + 1):
             hit = F.col(f"{section}_name_{rank}")
             head.append(_candidate(f"{section}.legal_name", hit, 10 + 10 * i + rank))
     tail = [

@@ -57,10 +57,13 @@ def mentions_xml(text: Column) -> Column:
     return F.contains(text, F.lit("<?xml")) | contains_any(lowered, ("<facturae", "<ubl", "<cii"))
 
 
-def xml_format(raw: Column) -> Column:
-    """Format told by the first 4096 bytes; the first rule that holds decides."""
-    first_bytes = F.substring(F.to_binary(raw, F.lit("utf-8")), 1, fv.XML_FORMAT_PREFIX)
-    head = F.lower(F.make_valid_utf8(first_bytes.cast("string")))
+def xml_format(raw: Column, prefix_bytes: int | None = None) -> Column:
+    """Format told by the file, or by its first ``prefix_bytes``; the first rule that holds decides."""
+    if prefix_bytes is None:
+        head = F.lower(raw)
+    else:
+        first_bytes = F.substring(F.to_binary(raw, F.lit("utf-8")), 1, prefix_bytes)
+        head = F.lower(F.make_valid_utf8(first_bytes.cast("string")))
 
     def has(word: str) -> Column:
         return F.contains(head, F.lit(word))
@@ -74,30 +77,44 @@ def xml_format(raw: Column) -> Column:
     )
 
 
-def classify(page_text: DataFrame, page_images: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Kind per document: doc_id, has_xml, text_length, images, kind.
+def classify(
+    page_text: DataFrame,
+    page_images: DataFrame,
+    attachments: DataFrame,
+    blocks: DataFrame | None = None,
+    ocr_lines: DataFrame | None = None,
+) -> DataFrame:
+    """Kind per document: doc_id, has_xml, text_length, images, n_lines, kind.
 
-    All three inputs are reduced to a row per document before they meet.
+    Every document that any table names gets a row.  All tables are reduced to a row per
+    document in one aggregate, so no text is shuffled.  ``n_lines`` counts OCR lines.
     """
-    texts = page_text.groupBy("doc_id").agg(
-        F.sum(F.length(strip(F.col("text")))).alias("text_length"),
-        F.bool_or(mentions_xml(F.col("text"))).alias("text_xml"),
+    seen = {"text_length": "bigint", "text_xml": "boolean", "images": "bigint", "file_xml": "boolean", "n_lines": "bigint"}
+
+    def told(table: DataFrame, **known: Column) -> DataFrame:
+        return table.select(
+            "doc_id", *[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in seen.items()]
+        )
+
+    parts = told(
+        page_text, text_length=F.length(strip(F.col("text"))), text_xml=mentions_xml(F.col("text"))
     )
-    named = (
-        attachments.filter(F.contains(F.lower("filename"), F.lit("xml")))
-        .groupBy("doc_id")
-        .agg(F.lit(True).alias("file_xml"))
+    parts = parts.unionByName(told(page_images, images=F.lit(1)))
+    parts = parts.unionByName(
+        told(attachments, file_xml=F.contains(F.lower("filename"), F.lit("xml")))
     )
-    no = F.lit(False)
-    has_xml = F.coalesce("text_xml", no) | F.coalesce("file_xml", no)
+    if blocks is not None:
+        parts = parts.unionByName(told(blocks))
+    if ocr_lines is not None:
+        parts = parts.unionByName(told(ocr_lines, n_lines=F.lit(1)))
+    no, none = F.lit(False), F.lit(0).cast("bigint")
     return (
-        texts.join(image_counts(page_images), "doc_id", "left")
-        .join(named, "doc_id", "left")
-        .select(
-            "doc_id",
-            has_xml.alias("has_xml"),
-            F.coalesce("text_length", F.lit(0)).alias("text_length"),
-            F.coalesce("images", F.lit(0)).alias("images"),
+        parts.groupBy("doc_id")
+        .agg(
+            (
+                F.coalesce(F.bool_or("text_xml"), no) | F.coalesce(F.bool_or("file_xml"), no)
+            ).alias("has_xml"),
+            *[F.coalesce(F.sum(c), none).alias(c) for c in ("text_length", "images", "n_lines")],
         )
         .withColumn("kind", document_kind())
     )

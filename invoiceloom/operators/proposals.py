@@ -33,7 +33,6 @@ def recover_json(responses: DataFrame) -> DataFrame:
     fenced = F.regexp_extract("text", fv.PROPOSAL_FENCE, 1)
     has_fence = F.regexp_like("text", F.lit(fv.PROPOSAL_FENCE))
     braced = F.regexp_extract("text", r"(?s)\{.*\}", 0)
-    nullish = F.contains(F.lower("text"), F.lit("null")) & (F.length("text") < fv.NULL_ANSWER_BELOW)
     cut = (
         responses.withColumn("text", text)
         .withColumn("has_fence", has_fence)
@@ -41,7 +40,7 @@ def recover_json(responses: DataFrame) -> DataFrame:
             "piece",
             F.when(F.col("has_fence"), strip(fenced))
             .when(braced != "", braced)
-            .when(nullish, F.col("text")),
+            .when(F.try_parse_json("text").isNotNull(), F.col("text")),
         )
         .withColumn("repaired", F.regexp_replace("piece", fv.TRAILING_COMMA, "$1"))
     )

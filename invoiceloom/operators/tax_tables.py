@@ -94,17 +94,23 @@ def row_offsets(tables: DataFrame) -> DataFrame:
 
 
 def cells_from_grid(grids: DataFrame) -> DataFrame:
-    """Grid of texts (array of rows of cells) -> cells of a table."""
-    rows = grids.select("doc_id", "page", F.posexplode("rows").alias("row", "cells"))
+    """Grids of texts (arrays of rows of cells) -> cells of tables.
+
+    ``table_seq`` tells grids of one page apart; grids without it are the only ones of their page.
+    """
+    number = F.col("table_seq") if "table_seq" in grids.columns else F.lit(0)
+    rows = grids.select(
+        "doc_id", "page", number.cast("int").alias("table_seq"), F.posexplode("rows").alias("row", "cells")
+    )
     zero = F.lit(0.0)
     return (
-        rows.select("doc_id", "page", "row", F.posexplode("cells").alias("col", "raw"))
+        rows.select("doc_id", "page", "table_seq", "row", F.posexplode("cells").alias("col", "raw"))
         .withColumn("text", strip(F.col("raw")))
         .filter(F.col("text") != "")
         .select(
             "doc_id",
             "page",
-            F.lit(0).alias("table_seq"),
+            "table_seq",
             F.lit("unknown").alias("kind"),
             "row",
             "col",

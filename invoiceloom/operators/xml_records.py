@@ -80,7 +80,7 @@ def _tax_lines() -> Column:
     read = F.transform(
         listed,
         lambda t: F.struct(
-            xml_decimal(t["TaxRate"]).cast("decimal(7,4)").alias("tax_rate"),
+            xml_decimal(t["TaxRate"]).try_cast("decimal(7,4)").alias("tax_rate"),
             F.coalesce(xml_decimal(t["TaxableBase"]), zero).alias("tax_base"),
             F.coalesce(xml_decimal(t["TaxAmount"]), zero).alias("tax_amount"),
         ),

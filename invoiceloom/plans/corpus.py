@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..operators.candidates import MAX_BLOCKS_PER_TASK, document_findings
+from ..operators.candidates import document_findings
 from ..operators.prepare import classify, non_blank, ocr_blocks, rejected, route
 from .records import text_records
 from .xml_plan import error_record, xml_branch
@@ -21,10 +21,9 @@ def text_branch(
     blocks: DataFrame,
     branch: str,
     include_evidence: bool = True,
-    max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK,
 ) -> DataFrame:
     """Records of documents (doc_id, kind) from their blocks, found or not."""
-    findings = document_findings(blocks, max_blocks_per_task)
+    findings = document_findings(blocks)
     return text_records(
         documents.select("doc_id", "kind").join(findings, "doc_id", "left"), branch, include_evidence
     )
@@ -34,11 +33,13 @@ def ocr_branch(
     documents: DataFrame,
     lines: DataFrame,
     include_evidence: bool = True,
-    max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK,
 ) -> DataFrame:
     """OCR documents; those in which nothing was read become error rows."""
-    read = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    counted = documents.select("doc_id", "kind").join(read, "doc_id", "left")
+    if "n_lines" in documents.columns:  # counted along with the kinds
+        counted = documents.select("doc_id", "kind", F.nullif("n_lines", F.lit(0)).alias("n_lines"))
+    else:
+        read = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+        counted = documents.select("doc_id", "kind").join(read, "doc_id", "left")
     silent = counted.filter(F.col("n_lines").isNull()).select(
         "doc_id",
         "kind",
@@ -48,7 +49,7 @@ def ocr_branch(
     )
     told = counted.filter(F.col("n_lines").isNotNull())
     return text_branch(
-        told, ocr_blocks(lines), "ocr", include_evidence, max_blocks_per_task
+        told, ocr_blocks(lines), "ocr", include_evidence
     ).unionByName(error_record(silent, "ocr"))
 
 
@@ -56,11 +57,10 @@ def extract_invoices(
     tables: dict,
     force_ocr: bool = False,
     include_evidence: bool = True,
-    max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK,
 ) -> DataFrame:
     """One response per document of the corpus; ``tables`` holds the five inputs by name."""
-    kinds = classify(tables["page_text"], tables["page_images"], tables["attachments"])
-    routed = kinds.select("doc_id", "kind", route(F.col("kind"), force_ocr).alias("route"))
+    kinds = classify(*[tables[name] for name in TABLES])
+    routed = kinds.select("doc_id", "kind", "n_lines", route(F.col("kind"), force_ocr).alias("route"))
 
     def taken(name: str) -> DataFrame:
         return routed.filter(F.col("route") == name)
@@ -70,9 +70,8 @@ def extract_invoices(
         non_blank(tables["blocks"]),
         "digital",
         include_evidence,
-        max_blocks_per_task,
     )
-    ocr = ocr_branch(taken("ocr"), tables["ocr_lines"], include_evidence, max_blocks_per_task)
+    ocr = ocr_branch(taken("ocr"), tables["ocr_lines"], include_evidence)
     xml = xml_branch(taken("xml"), tables["attachments"], include_evidence)
     return digital.unionByName(ocr).unionByName(xml)
 

@@ -21,13 +21,23 @@ from .records import (
 
 
 def last_wins(entries: Column) -> Column:
-    """Key-value entries with every key once, its last value kept."""
-    later = F.transform(entries, lambda e, i: F.struct(i.alias("i"), e["key"].alias("key")))
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(later, lambda o: (o["i"] > i) & (o["key"] == e["key"])),
+    """Key-value entries with every key once, its last value kept.
+
+    Entries are sorted by key and place, so that a look at the next one tells the last of
+    a key; the rest goes back to its order.
+    """
+    by_key = F.array_sort(
+        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e.alias("entry")))
     )
 
+    def last_of_each(s: Column) -> Column:
+        kept = F.filter(s, lambda x, j: ~F.coalesce(F.get(s, j + 1)["key"] == x["key"], F.lit(False)))
+        placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["at"], x["entry"].alias("entry"))))
+        return F.transform(placed, lambda x: x["entry"])
+
+    # bound to a variable, or the sort would run again for every entry
+    return F.get(F.transform(F.array(by_key), last_of_each), F.lit(0))
+
 
 def printed(amount: Column) -> Column:
     """Amount as text: two places, more only when they are used."""

@@ -3,35 +3,25 @@
 from pyspark.sql import SparkSession
 
 
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app: str = "invoiceloom", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution on; a cluster's own settings win over ours."""
+    """A session with adaptive execution on; what the cluster or the caller sets stays."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        **conf,
-    }
-    for key, value in settings.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder the session already has, if any."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-
-
-def reliable_checkpoint(df):
-    """Cut lineage through the shared folder of the session (never executor-local)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = checkpoint_dir(spark)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark

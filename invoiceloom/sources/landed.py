@@ -16,10 +16,13 @@ _SCHEMAS = {
 }
 
 
+def table_schema(name: str, partitions: str = "") -> str:
+    return _SCHEMAS[name] + (f", {partitions}" if partitions else "")
+
+
 def read_landed(spark: SparkSession, folder: str, name: str, partitions: str = "") -> DataFrame:
     """A landed table by name, with its fixed schema and its partition columns, if any."""
-    schema = _SCHEMAS[name] + (f", {partitions}" if partitions else "")
-    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return spark.read.schema(table_schema(name, partitions)).parquet(f"{folder}/{name}")
 
 
 def read_corpus(spark: SparkSession, folder: str) -> dict:

@@ -9,33 +9,44 @@ per batch id and overwritten when a batch is replayed.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import MAX_BLOCKS_PER_TASK
 from ..plans.corpus import TABLES, extract_invoices
-from ..sources.landed import read_landed
+from ..sources.landed import table_schema
 
 MANIFEST = "doc_id bigint, landing string"
 
 
-def extract_batch(
-    batch: DataFrame,
-    batch_id: int,
-    root: str,
-    out: str,
-    max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK,
-) -> None:
-    """Extract the documents of one micro-batch; only their landing folders are read."""
+def landed_in(spark: SparkSession, root: str, name: str, landings: list[str]) -> DataFrame:
+    """Rows of a table from the given landing folders; a landing may lack the table."""
+    folder = f"{root}/{name}"
+    paths = [f"{folder}/landing={x}" for x in landings]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if jvm_path(p).getFileSystem(hadoop).exists(jvm_path(p))]
+    schema = table_schema(name, "landing string")
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(*there)
+
+
+def extract_batch(batch: DataFrame, batch_id: int, root: str, out: str) -> None:
+    """Extract the documents of one micro-batch; only their landing folders are read.
+
+    The names of the folders come to the driver: as many as the manifest files of the
+    batch name.  A document that landed twice in the batch is taken from its last landing.
+    """
     spark = batch.sparkSession
-    documents = batch.select("doc_id", "landing").distinct().persist()
+    documents = batch.groupBy("doc_id").agg(F.max("landing").alias("landing")).persist()
     try:
+        landings = [r.landing for r in documents.select("landing").distinct().collect()]
         tables = {
-            name: read_landed(spark, root, name, partitions="landing string")
+            name: landed_in(spark, root, name, landings)
             .join(documents, ["doc_id", "landing"], "left_semi")
             .drop("landing")
             for name in TABLES
         }
-        responses = extract_invoices(tables, max_blocks_per_task=max_blocks_per_task)
         (
-            responses.withColumn("batch_id", F.lit(batch_id))
+            extract_invoices(tables)
+            .withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id")
@@ -45,21 +56,32 @@ def extract_batch(
         documents.unpersist()
 
 
+def latest_responses(spark: SparkSession, out: str) -> DataFrame:
+    """One response per document: that of the last batch it landed in."""
+    rows = spark.read.parquet(out)
+    whole = F.struct(*rows.columns)
+    return rows.groupBy("doc_id").agg(F.max_by(whole, "batch_id").alias("r")).select("r.*")
+
+
 def extract_landings(
     spark: SparkSession,
     root: str,
     out: str,
     checkpoint: str,
-    max_blocks_per_task: int | None = MAX_BLOCKS_PER_TASK,
+    max_files_per_batch: int = 100,
     **trigger,
 ):
-    """Start the stream; by default it works off everything that has landed and stops."""
+    """Start the stream; by default it works off everything that has landed and stops.
+
+    ``max_files_per_batch`` manifest files make a batch at most; the rest waits for the next.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        extract_batch(batch, batch_id, root, out, max_blocks_per_task)
+        extract_batch(batch, batch_id, root, out)
 
     return (
         spark.readStream.schema(MANIFEST)
+        .option("maxFilesPerTrigger", max_files_per_batch)
         .parquet(f"{root}/manifest")
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)

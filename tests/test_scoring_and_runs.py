@@ -7,7 +7,7 @@ from invoiceloom import schemas
 from invoiceloom.operators import evaluate as ev, metrics
 from invoiceloom.plans import corpus
 from invoiceloom.sources import landed, ledger as led, rendered as ren
-from invoiceloom.streaming.landing import extract_landings
+from invoiceloom.streaming.landing import extract_batch, extract_landings, landed_in, latest_responses
 
 
 def verdicts(spark, match, pairs, kind="string"):
@@ -95,6 +95,24 @@ def test_landed_corpus_as_stream_and_as_batch(spark, sf, tmp_path):
     assert back.count() == batch.count() and "global" in back.schema["confidence"].dataType.names
 
 
+def test_stream_reads_its_landings_only_and_keeps_the_last(spark, sf, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    inv, tables = landed_tables(spark, sf, "doc_id < 20")
+    for name in ("a", "b"):
+        for table, df in tables.items():
+            df.withColumn("landing", F.lit(name)).write.mode("append").partitionBy("landing").parquet(f"{root}/{table}")
+    manifest = inv.select("doc_id")
+    extract_batch(manifest.withColumn("landing", F.lit("a")), 0, root, out)
+    extract_batch(manifest.withColumn("landing", F.lit("b")).union(manifest.limit(3).withColumn("landing", F.lit("a"))), 1, root, out)
+    files = landed_in(spark, root, "blocks", ["b"]).inputFiles()
+    assert files and all("landing=b" in f for f in files)
+    assert landed_in(spark, root, "blocks", ["none"]).count() == 0
+    n = manifest.count()
+    assert spark.read.parquet(out).count() == 2 * n
+    last = latest_responses(spark, out)
+    assert last.count() == n and last.agg(F.min("batch_id")).collect()[0][0] == 1
+
+
 def test_metrics(spark, sf):
     times = metrics.StageTimes("r1")
     with times.stage("read", files=3):

@@ -7,7 +7,7 @@ from invoiceloom import fixed_values as fv
 from invoiceloom import schemas
 from invoiceloom.operators import prepare, proposals, tax_tables as tt, validate, xml_records
 from invoiceloom.operators.resolve import needs_review, resolve_documents, resolve_fields
-from invoiceloom.plans import proposal_plan, xml_plan
+from invoiceloom.plans import corpus, proposal_plan, xml_plan
 
 D = Decimal
 
@@ -127,13 +127,90 @@ def test_xml_formats(spark):
         "zugferd": "cii",
         '<rsm:X><DocumentContext/>': "cii",
         "<x/>": "unknown",
-        " " * 4096 + "<Facturae>": "unknown",
+        " " * 10_000 + "<Facturae>": "facturae",
     }
     df = spark.createDataFrame([(k,) for k in given], "raw string")
     got = {r.raw: r.f for r in df.select("raw", prepare.xml_format(F.col("raw")).alias("f")).collect()}
     assert got == given
 
 
+def test_two_grids_on_a_page_stay_apart(spark):
+    g = spark.createDataFrame(
+        [(1, 1, 0, [["21%", "100,00", "21,00"]]), (1, 1, 1, [["10%", "50,00", "5,00"]])],
+        "doc_id bigint, page int, table_seq int, rows array<array<string>>",
+    )
+    got = tt.tax_line_candidates(tt.cells_from_grid(g)).orderBy("table_seq").collect()
+    assert [(r.tax_rate, r.tax_base, r.tax_amount) for r in got] == [
+        (D("21"), D("100.00"), D("21.00")), (D("10"), D("50.00"), D("5.00")),
+    ]
+
+
+def facturae(lines, head=""):
+    told = "".join(
+        f"<TaxLine><TaxRate>{r}</TaxRate><TaxableBase>{b}</TaxableBase><TaxAmount>{a}</TaxAmount></TaxLine>" for r, b, a in lines
+    )
+    return (
+        f"{head}<Facturae><FacturaeHeader><InvoiceNumber>A1</InvoiceNumber><InvoiceDate>2024-01-01</InvoiceDate></FacturaeHeader>"
+        f"<FacturaeBody><TaxesOutputs>{told}</TaxesOutputs></FacturaeBody></Facturae>"
+    )
+
+
+def attached(spark, *files):
+    return spark.createDataFrame([(i, 0, "factura.xml", f) for i, f in enumerate(files)], schemas.ATTACHMENTS)
+
+
+def test_an_impossible_rate_leaves_its_line_out(spark):
+    got = xml_records.parse_attachments(attached(spark, facturae([("21000", "1", "1"), ("21", "100", "21")]))).collect()
+    assert [x.tax_rate for x in got[0].tax_lines] == [D("21")]
+
+
+def test_a_record_behind_a_long_comment_is_parsed(spark):
+    got = xml_records.parse_attachments(attached(spark, facturae([("21", "100", "21")], "<!--" + "x" * 10_000 + "-->"))).collect()
+    assert [r.invoice_number for r in got] == ["A1"]
+
+
+def test_many_tax_lines_in_one_file_end_in_seconds(spark):
+    import time
+
+    entries = spark.range(1).select(
+        F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.struct((i % 20_000).cast("string").alias("key"), i.alias("value"))).alias("e")
+    )
+    started = time.perf_counter()
+    (r,) = entries.select(xml_plan.last_wins(F.col("e")).alias("k")).collect()
+    assert [x.value for x in r.k] == list(range(40_000, 60_000))
+    assert time.perf_counter() - started < 30
+
+
+def test_a_rate_of_25_digits_leaves_its_line_out(spark):
+    raw = """{"invoice_data": {"number": "A1"}, "tax_lines": [
+      {"tax_rate": "1234567890123456789012345", "tax_base": "1,00", "tax_amount": "1,00"},
+      {"tax_rate": "21", "tax_base": "100,00", "tax_amount": "21,00"}]}"""
+    c = proposals.proposal_candidates(proposals.proposed_fields(proposals.recover_json(answers(spark, raw))))
+    (r,) = proposal_plan.proposal_records(c).collect()
+    assert r.doc_id == 0 and len(r.errors) > 0
+
+
+def test_every_document_of_any_table_gets_a_kind(spark):
+    def table(ddl, *rows):
+        return spark.createDataFrame(list(rows), ddl)
+
+    page_text = table(schemas.PAGE_TEXT, (1, 1, "x" * 80))
+    images = spark.createDataFrame([], schemas.PAGE_IMAGES).unionByName(
+        spark.range(1).selectExpr("2L as doc_id"), allowMissingColumns=True
+    )
+    xml = attached(spark, facturae([])).withColumn("doc_id", F.lit(3).cast("bigint"))
+    blocks = spark.createDataFrame([], schemas.BLOCKS)
+    ocr = spark.createDataFrame([], schemas.OCR_LINES).unionByName(
+        spark.range(1).selectExpr("4L as doc_id", "1 as page", "0 as line_seq", "'texto' as text"), allowMissingColumns=True
+    )
+    got = prepare.classify(page_text, images, xml, blocks, ocr).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.kind, r.n_lines) for r in got] == [
+        (1, "digital", 0), (2, "scanned", 0), (3, "embedded_xml", 0), (4, "scanned", 1),
+    ]
+    tables = {"page_text": page_text, "page_images": images, "attachments": xml, "blocks": blocks, "ocr_lines": ocr}
+    assert {r.doc_id for r in corpus.extract_invoices(tables).select("doc_id").collect()} == {1, 2, 3, 4}
+
+
 def answers(spark, *raws):
     return spark.createDataFrame([(i, 1, r) for i, r in enumerate(raws)], schemas.MODEL_RESPONSES)
 

@@ -1,13 +1,11 @@
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from invoiceloom import schemas
 from invoiceloom.operators import candidates as cand
 from invoiceloom.plans import corpus
-from invoiceloom.sources import ledger as led, rendered as ren
 
 NINE = [
     "FACTURA 2024/001", "Fecha: 01/03/2024", "EMISOR A12345678", "Empresa Proveedora S.L.",
@@ -134,14 +132,55 @@ def test_reading_order_beats_input_order(spark):
     assert cand.document_findings(b).collect()[0].number.value == "2024/001"
 
 
-def test_long_documents_give_the_same_findings(spark, sf):
-    lines = ren.rendered_lines(led.ledger(spark, sf))
-    # One document with a third of all blocks: many invoices in one.
-    hot = lines.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id")))
-    hot = hot.withColumn("page", F.when(F.col("doc_id") == 0, F.xxhash64("text", "y0") % 500).otherwise(F.col("page")).cast("int"))
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "text")
-    b = ren.text_blocks(hot.withColumn("block_seq", F.row_number().over(order)))
-    plain = cand.document_findings(b, None)
-    chunked = cand.document_findings(b, 30)
-    assert chunked.count() == plain.count()
-    assert plain.exceptAll(chunked).isEmpty()
+def paged_blocks(spark, rows):
+    """(doc, page, text) in reading order."""
+    full = [(d, p, i, t, (0.0, 10.0 + 40 * i, 100.0, 30.0 + 40 * i), "digital_text", 1.0) for i, (d, p, t) in enumerate(rows)]
+    return spark.createDataFrame(full, schemas.BLOCKS)
+
+
+def test_sections_bases_and_names_cross_pages(spark):
+    b = paged_blocks(spark, [
+        (1, 1, "EMISOR A12345678"),
+        (1, 2, "Empresa Proveedora S.L."), (1, 2, "IVA 21% 21,00 EUR"),
+        (1, 3, "Otra Empresa S.A."), (1, 3, "CLIENTE B87654321"), (1, 3, "Firma Ejemplo S.A."),
+        (1, 4, "Tercer Nombre S.L."),
+        (1, 5, "Base imponible 100,00 EUR"),
+        (2, 1, "Empresa Sola S.L."), (2, 2, "EMISOR A12345678"), (2, 3, "Empresa Tarde S.L."),
+    ])
+    named = cand.findings_in_order(b).filter("fact = 'name'").orderBy("doc_id", "page", "block_seq").collect()
+    assert [(r.doc_id, r.value, r.section, r.name_rank) for r in named] == [
+        (1, "Empresa Proveedora S.L.", "supplier", 1),
+        (1, "Otra Empresa S.A.", "supplier", 2),
+        (1, "Firma Ejemplo S.A.", "customer", 1),
+        (1, "Tercer Nombre S.L.", "customer", 2),
+        (2, "Empresa Sola S.L.", None, None),
+        (2, "Empresa Tarde S.L.", "supplier", 1),
+    ]
+    one, two = cand.document_findings(b).orderBy("doc_id").collect()
+    assert one.supplier_name.value == "Empresa Proveedora S.L." and one.customer_name.value == "Firma Ejemplo S.A."
+    assert [(r.rate, r.amount, r.base) for r in one.rates] == [(Decimal("21.00"), "21.00", "100.00")]
+    assert two.supplier_name.value == "Empresa Tarde S.L."
+
+
+def test_a_document_that_holds_a_third_of_all_blocks(spark):
+    rows = [(1, p, t) for p in range(1, 401) for t in ("sin datos", "IVA 21% 21,00 EUR")]
+    rows = [(1, 0, "EMISOR A12345678"), *rows, (1, 401, "Base imponible 100,00 EUR"), (1, 402, "Empresa Final S.L.")]
+    rows += [(d, 1, t) for d in range(2, 180) for t in NINE]
+    found = {r.doc_id: r for r in cand.document_findings(paged_blocks(spark, rows)).collect()}
+    assert len(found) == 179
+    assert found[1].rates[0].page == 1 and found[1].rates[0].base == "100.00"
+    assert found[1].supplier_name.value == "Empresa Final S.L." and found[1].supplier_name.page == 402
+    assert all(found[d].number.value == "2024/001" for d in range(2, 180))
+
+
+def test_buyer_id_after_characters_of_two_units(spark):
+    got = long_candidates(spark, ["\U0001f600" * 12 + " CLIENTE 12345678Z"])
+    assert ("customer.tax_id", "12345678Z") in got
+
+
+def test_no_job_runs_while_a_plan_is_built(spark):
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    cand.document_findings(make_blocks(spark, {1: NINE}))
+    assert not status.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
