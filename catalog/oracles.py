@@ -57,10 +57,10 @@ oracle("s10_response_json", "SELECT doc_id, status, global_score, number FROM re
 oracle(
     "s11_report_levels",
     """SELECT level, count(*) AS rows, CAST(sum(fields) AS BIGINT) AS fields, CAST(sum(errors) AS BIGINT) AS errors FROM (
-SELECT 'invoice' AS level, count(*) AS fields, count(*) FILTER (WHERE score < 1) AS errors FROM field_scores GROUP BY invoice_file
-UNION ALL SELECT 'type', count(*), count(*) FILTER (WHERE score < 1) FROM field_scores GROUP BY invoice_type
-UNION ALL SELECT 'field', count(*), count(*) FILTER (WHERE score < 1) FROM field_scores GROUP BY field_path
-UNION ALL SELECT 'all', count(*), count(*) FILTER (WHERE score < 1) FROM field_scores) GROUP BY level""",
+SELECT 'invoice' AS level, count(*) AS fields, count(*) FILTER (WHERE NOT matched) AS errors FROM field_scores GROUP BY invoice_file
+UNION ALL SELECT 'type', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores GROUP BY invoice_type
+UNION ALL SELECT 'field', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores GROUP BY field_path
+UNION ALL SELECT 'all', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores) GROUP BY level""",
 )
 
 # ---- preparation ------------------------------------------------------------
@@ -403,7 +403,7 @@ oracle(
 
 def _scores(*paths: str) -> str:
     listed = ", ".join(f"'{f}'" for f in paths)
-    return f"SELECT invoice_file, field_path, score = 1 AS match, round(score, 6) AS score FROM field_scores WHERE field_path IN ({listed})"
+    return f"SELECT invoice_file, field_path, matched AS match, round(score, 6) AS score FROM field_scores WHERE field_path IN ({listed})"
 
 
 oracle("e3_exact_fields", _scores("invoice_data.number", "invoice_data.issue_date", "supplier.tax_id", "customer.tax_id"))
@@ -417,26 +417,26 @@ oracle("e6_tax_lines", _scores("tax_lines"))
 oracle("e7_totals", _scores("totals"))
 oracle(
     "e8_field_results",
-    """SELECT invoice_file, invoice_type, field_path, score = 1 AS match, round(score, 6) AS score FROM field_scores
+    """SELECT invoice_file, invoice_type, field_path, matched AS match, round(score, 6) AS score FROM field_scores
 UNION ALL SELECT invoice_file, invoice_type, 'totals.advance_amount', true, 1.0 FROM truth""",
 )
 oracle(
     "e9_invoice_scores",
-    "SELECT invoice_file, round(avg(score), 6) AS score, count(*) FILTER (WHERE score < 1) AS errors FROM field_scores GROUP BY invoice_file",
+    "SELECT invoice_file, round(avg(score), 6) AS score, count(*) FILTER (WHERE NOT matched) AS errors FROM field_scores GROUP BY invoice_file",
 )
 oracle(
     "e10_type_errors",
-    "SELECT invoice_type, count(*) AS fields, count(*) FILTER (WHERE score < 1) AS errors FROM field_scores GROUP BY invoice_type",
+    "SELECT invoice_type, count(*) AS fields, count(*) FILTER (WHERE NOT matched) AS errors FROM field_scores GROUP BY invoice_type",
 )
 oracle(
     "e11_field_accuracy",
-    "SELECT field_path, round(avg(CASE WHEN score = 1 THEN 1 ELSE 0 END), 6) AS accuracy FROM field_scores GROUP BY field_path",
+    "SELECT field_path, round(avg(CASE WHEN matched THEN 1 ELSE 0 END), 6) AS accuracy FROM field_scores GROUP BY field_path",
 )
 oracle("e12_global_accuracy", "SELECT round(avg(score), 6) AS global_accuracy, count(*) AS fields FROM field_scores")
 oracle(
     "e13_error_listing",
-    """SELECT 'error' AS "row", invoice_file, field_path, 1 AS errors FROM field_scores WHERE score < 1
-UNION ALL SELECT 'gate', NULL, NULL, count(*) FILTER (WHERE score < 1) FROM field_scores""",
+    """SELECT 'error' AS "row", invoice_file, field_path, 1 AS errors FROM field_scores WHERE NOT matched
+UNION ALL SELECT 'gate', NULL, NULL, count(*) FILTER (WHERE NOT matched) FROM field_scores""",
 )
 
 # ---- run metrics ------------------------------------------------------------

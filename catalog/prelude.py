@@ -614,11 +614,12 @@ CTES["truth"] = """
 SELECT 'doc_' || doc_id || '.pdf' AS invoice_file,
        CASE doc_id % 3 WHEN 0 THEN 'digital' WHEN 1 THEN 'hybrid' ELSE 'scanned' END AS invoice_type, * FROM ledger"""
 
-CTES["scored"] = """
+CTES["scored"] = f"""
 SELECT t.invoice_file, t.invoice_type, t.doc_id, p.has_prediction,
        CASE WHEN has_prediction AND t.doc_id % 5 <> 1 THEN 1.0 ELSE 0.0 END AS s_number,
        CASE WHEN has_prediction AND t.doc_id % 8 <> 3 THEN 1.0 ELSE 0.0 END AS s_date,
-       CASE WHEN has_prediction THEN 1.0 ELSE 0.0 END AS s_supplier_name,
+       CASE WHEN NOT has_prediction THEN 0.0 WHEN t.doc_id % 9 = 5 THEN 2.0 * cut_length / (name_length + cut_length)
+            ELSE 1.0 END AS s_supplier_name,
        CASE WHEN has_prediction THEN 1.0 ELSE 0.0 END AS s_supplier_id,
        CASE WHEN has_prediction AND t.doc_id % 10 <> 5 THEN 1.0 ELSE 0.0 END AS s_customer_name,
        CASE WHEN has_prediction AND t.doc_id % 14 <> 9 THEN 1.0 ELSE 0.0 END AS s_customer_id,
@@ -628,9 +629,13 @@ SELECT t.invoice_file, t.invoice_type, t.doc_id, p.has_prediction,
             WHEN t.doc_id % 6 = 2 THEN (2.0 + greatest(0.0, 1 - 5.0 / CAST(gross AS DOUBLE))) / 3 ELSE 1.0 END AS s_totals
 FROM truth t
 JOIN (SELECT doc_id, doc_id % 7 <> 1 AS has_prediction FROM ledger) p USING (doc_id)
-JOIN (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) USING (doc_id)"""
+JOIN (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) USING (doc_id)
+JOIN (SELECT doc_id, length(short) AS name_length,
+             length(trim(substr(short, 1, CAST(length(short) - 2 - 2 * (doc_id % 4) AS INTEGER)))) AS cut_length
+      FROM (SELECT doc_id, {normalized_name('supplier_name')} AS short FROM ledger)) USING (doc_id)"""
 
 CTES["field_scores"] = """
+SELECT *, score >= CASE WHEN field_path LIKE '%.legal_name' THEN 0.85 ELSE 1 END AS matched FROM (
 SELECT invoice_file, invoice_type, 'invoice_data.number' AS field_path, s_number AS score FROM scored
 UNION ALL SELECT invoice_file, invoice_type, 'invoice_data.issue_date', s_date FROM scored
 UNION ALL SELECT invoice_file, invoice_type, 'supplier.legal_name', s_supplier_name FROM scored
@@ -638,7 +643,7 @@ UNION ALL SELECT invoice_file, invoice_type, 'supplier.tax_id', s_supplier_id FR
 UNION ALL SELECT invoice_file, invoice_type, 'customer.legal_name', s_customer_name FROM scored
 UNION ALL SELECT invoice_file, invoice_type, 'customer.tax_id', s_customer_id FROM scored
 UNION ALL SELECT invoice_file, invoice_type, 'tax_lines', s_lines FROM scored
-UNION ALL SELECT invoice_file, invoice_type, 'totals', s_totals FROM scored"""
+UNION ALL SELECT invoice_file, invoice_type, 'totals', s_totals FROM scored)"""
 
 
 def _needed(sql: str, seen: list[str]) -> None:

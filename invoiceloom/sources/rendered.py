@@ -13,6 +13,8 @@ Printed defects, by document number:
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize_legal_name
+
 
 def plain_amount(col: Column) -> Column:
     return F.replace(col.cast("string"), F.lit("."), F.lit(","))
@@ -435,7 +437,8 @@ def planned_predictions(invoices: DataFrame) -> DataFrame:
     """Predictions with planned mistakes, by document number:
 
     doc % 7 = 1 no prediction, doc % 5 = 1 wrong number, doc % 8 = 3 no date,
-    doc % 9 = 4 seller written differently, doc % 10 = 5 no buyer name,
+    doc % 9 = 4 seller written differently, doc % 9 = 5 the last 2, 4, 6 or 8 letters of the
+    seller's normalised name missing, doc % 10 = 5 no buyer name,
     doc % 14 = 9 no buyer tax id, doc % 12 = 7 no tax lines, doc % 11 = 6 first
     tax amount 1.00 off, doc % 6 = 2 gross 5.00 off, doc % 4 = 3 rates with places.
     """
@@ -456,12 +459,14 @@ def planned_predictions(invoices: DataFrame) -> DataFrame:
         ),
     )
     supplier = record["supplier"]["legal_name"]
+    short = normalize_legal_name(supplier)
     changed = (
         record.withField("invoice_data.number", F.when(doc % 5 == 1, "X").otherwise(record["invoice_data"]["number"]))
         .withField("invoice_data.issue_date", F.when(doc % 8 != 3, record["invoice_data"]["issue_date"]))
         .withField(
             "supplier.legal_name",
             F.when(doc % 9 == 4, F.concat(F.upper(F.replace(supplier, F.lit(" "), F.lit("  "))), F.lit(",")))
+            .when(doc % 9 == 5, F.substring(short, F.lit(1), F.length(short) - 2 - 2 * (doc % 4).cast("int")))
             .otherwise(supplier),
         )
         .withField("customer.legal_name", F.when(doc % 10 != 5, record["customer"]["legal_name"]))
