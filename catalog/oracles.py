@@ -435,14 +435,16 @@ oracle(
 oracle("e12_global_accuracy", "SELECT round(avg(score), 6) AS global_accuracy, count(*) AS fields FROM field_scores")
 oracle(
     "e13_error_listing",
-    """SELECT 'error' AS "row", invoice_file, field_path, 1 AS errors FROM field_scores WHERE NOT matched
-UNION ALL SELECT 'gate', NULL, NULL, count(*) FILTER (WHERE NOT matched) FROM field_scores""",
+    """SELECT 'error' AS "row", invoice_file, field_path, 1 AS errors,
+row_number() OVER (PARTITION BY invoice_file ORDER BY score, field_path) AS rank FROM field_scores WHERE NOT matched
+UNION ALL SELECT 'gate', NULL, NULL, count(*) FILTER (WHERE NOT matched), NULL FROM field_scores""",
 )
 
 # ---- run metrics ------------------------------------------------------------
 oracle(
     "o1_stage_times",
-    """SELECT event_type AS stage, count(*) AS runs, round(avg(value), 2) AS mean_ms, round(sum(value), 2) AS total_ms FROM events GROUP BY event_type""",
+    """SELECT event_type AS stage, count(*) AS runs, round(avg(value), 2) AS mean_ms,
+round(quantile_cont(value, 0.5), 2) AS median_ms, round(quantile_cont(value, 0.95), 2) AS p95_ms, round(sum(value), 2) AS total_ms FROM events GROUP BY event_type""",
 )
 oracle(
     "o1_run_totals",

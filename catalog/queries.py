@@ -1109,9 +1109,10 @@ def e13_error_listing(spark, sf):
     gate = ev.passes(results).select(
         F.lit("gate").alias("row"), F.lit(None).cast("string").alias("invoice_file"),
         F.lit(None).cast("string").alias("field_path"), F.col("errors"),
+        F.lit(None).cast("int").alias("rank"),
     )
     listed = ev.error_listing(results).select(
-        F.lit("error").alias("row"), "invoice_file", "field_path", F.lit(1).cast("bigint").alias("errors")
+        F.lit("error").alias("row"), "invoice_file", "field_path", F.lit(1).cast("bigint").alias("errors"), "rank"
     )
     return listed.unionByName(gate)
 
@@ -1137,7 +1138,7 @@ def _stages(spark, sf):
 @query
 def o1_stage_times(spark, sf):
     """Events read as stage times."""
-    return metrics.stage_roll_up(_stages(spark, sf)).select("stage", "runs", "mean_ms", "total_ms")
+    return metrics.stage_roll_up(_stages(spark, sf), exact=True)
 
 
 @query

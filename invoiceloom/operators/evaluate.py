@@ -7,7 +7,7 @@ come from one aggregate with grouping sets.
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,8 +232,9 @@ def roll_ups(results: DataFrame) -> DataFrame:
 
 
 def error_listing(results: DataFrame) -> DataFrame:
-    """Wrong fields, worst invoices first."""
-    return results.filter(~F.col("match")).orderBy("score", "invoice_file", "field_path")
+    """Wrong fields with their ``rank`` in the invoice, worst first; sorting is left to the sink."""
+    worst = Window.partitionBy("invoice_file").orderBy("score", "field_path")
+    return results.filter(~F.col("match")).withColumn("rank", F.row_number().over(worst))
 
 
 def passes(results: DataFrame) -> DataFrame:
