@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +38,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder in ``spark.checkpoint.dir``, which every executor can reach."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A new path below the folder in ``spark.checkpoint.dir``, which every executor can reach.
+
+    Only a session that runs in one process may leave it unset: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
