@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from invoiceloom.llm.rows import column, packed, unpacked
 
-FREQUENT_WORDS = 200_000
+FREQUENT_WORDS = 131_000
 NO_RANK = 2**31 - 1
 SPARK_SEED = 42
 
