@@ -159,4 +159,36 @@ ORACLES: dict[str, str] = {
             coalesce(array_to_string(list_sort(list_distinct(list(m.license) FILTER (m.license IS NOT NULL))), ','), '') AS licenses,
             round(max(m.dice), 6) AS best_dice
         FROM documents d LEFT JOIN matched m USING (doc_id) GROUP BY d.doc_id""",
+    "op1_embedding_dedup": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b
+                ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reached(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.v FROM reached r JOIN links l ON r.b = l.u),
+        counted AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT a AS vec_id, coalesce(max(n), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept
+        FROM reached LEFT JOIN counted ON a = u GROUP BY a""",
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM worded),
+        parts AS (SELECT doc_id, unnest(s) AS x FROM sets),
+        shared AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM parts a JOIN parts b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY ALL),
+        near AS (
+            SELECT u, v FROM shared JOIN sets p ON u = p.doc_id JOIN sets q ON v = q.doc_id
+            WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)),
+        links AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near),
+        reached(a, b) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.v FROM reached r JOIN links l ON r.b = l.u),
+        least_of AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, component_id FROM sets s JOIN least_of ON s.doc_id = a""",
 }
