@@ -26,6 +26,7 @@ PENALTY = 1e-6
 STEPS = 80
 RATE = 0.3
 CALIBRATION_PART = 5
+ROWS_AT_ONCE = 250
 
 KEEP_FROM = 0.5
 MIN_WORDS = 50
@@ -86,6 +87,8 @@ def frequencies(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     """Logistic regression with a step size per weight (AdaGrad on the whole sample); both classes weigh the same.
 
+    ``rows`` is used up: what the model learns from is taken out of the list.
+
     Labels of one class only, or none, give a model that scores every text with their rate (0.5 without labels).
     """
     weight = np.zeros(FAMILIES << BITS)
@@ -96,20 +99,33 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2:
         apart = np.zeros(len(y), bool)
     learn = np.flatnonzero(~apart)
-    slot = np.concatenate([rows[i][0] for i in learn])
-    value = np.concatenate([rows[i][1] for i in learn]).astype(np.float32) * np.float32(SCALE)
-    row = np.repeat(np.arange(len(learn)), [len(rows[i][0]) for i in learn])
-    target = y[learn].astype(float)
-    cost = 1 / (2 * np.where(target == 1, target.sum(), (1 - target).sum()))
+    ones = float(y[learn].sum())
+    parts = []
+    for at in range(0, len(learn), ROWS_AT_ONCE):
+        part = learn[at : at + ROWS_AT_ONCE]
+        target = y[part].astype(float)
+        parts.append((
+            np.concatenate([rows[i][0] for i in part]),
+            np.concatenate([rows[i][1] for i in part]).astype(np.float32) * np.float32(SCALE),
+            np.repeat(np.arange(len(part), dtype=np.int32), [len(rows[i][0]) for i in part]),
+            target,
+            1 / (2 * np.where(target == 1, ones, len(learn) - ones)),
+        ))
+        if apart.any():
+            for i in part:
+                rows[i] = None  # they stand in the part now
     bias, squares, bias_squares = 0.0, np.full(len(weight), 1e-12), 1e-12
     for _ in range(STEPS):
-        z = np.bincount(row, weight[slot] * value, len(learn)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) * cost
-        slope = np.bincount(slot, error[row] * value, len(weight)) + PENALTY * weight
+        slope, bias_slope = PENALTY * weight, 0.0
+        for slot, value, row, target, cost in parts:
+            z = np.bincount(row, weight[slot] * value, len(target)) + bias
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) * cost
+            slope += np.bincount(slot, error[row] * value, len(weight))
+            bias_slope += error.sum()
         squares += slope * slope
         weight -= RATE * slope / np.sqrt(squares)
-        bias_squares += error.sum() ** 2
-        bias -= RATE * error.sum() / np.sqrt(bias_squares)
+        bias_squares += bias_slope**2
+        bias -= RATE * bias_slope / np.sqrt(bias_squares)
     model = Model(weight.astype(np.float32), bias, 1.0, 0.0)
     check = np.flatnonzero(apart) if apart.any() else learn
     margins = np.array([SCALE * float(np.dot(weight[rows[i][0]], rows[i][1])) + bias for i in check])
@@ -135,7 +151,10 @@ def train(documents: DataFrame, labels: DataFrame, label_column: str = "quality"
     sample = labelled_sample(documents, labels, label_column, sample_rows).select("id", "y", "text")
     got = sample.mapInArrow(extract, "id long, y int, slot binary, share binary").collect()
     got.sort(key=lambda r: (r.id * 2654435761 % (1 << 32), r.id))
-    return fit([(np.frombuffer(r.slot, "<i4"), np.frombuffer(r.share, "<f4")) for r in got], np.array([r.y for r in got], np.int64))
+    y = np.array([r.y for r in got], np.int64)
+    rows = [(np.frombuffer(r.slot, "<i4"), np.frombuffer(r.share, "<f4")) for r in got]
+    del got
+    return fit(rows, y)
 
 
 def repeats(keys: np.ndarray) -> np.ndarray:
