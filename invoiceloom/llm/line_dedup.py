@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from invoiceloom.llm.rows import BLANKS, ascii_lower, column, packed, unpacked
+from invoiceloom.llm.rows import BLANKS, ascii_lower, column, packed, unpacked, written
 
 MIN_DOCUMENTS = 3
 MIN_CHARACTERS = 20
@@ -53,6 +53,8 @@ def drop_shared_lines(
         .where(F.col("n") >= min_documents)
         .drop("n")
     )
+    # written first, so that the join below exchanges both sides itself and may split a line that a third of all documents hold
+    shared = written(shared, "shared-lines")
     dropped = (
         hashed.join(shared, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
