@@ -34,6 +34,7 @@ SINGLE_BELOW = 64
 
 COUNT_BITS = 18
 BIT_LONGS = 8
+SKETCH_BITS_PER_SHINGLE = 4
 FILTER_BITS = 24
 
 
@@ -97,7 +98,22 @@ def bit_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(at.astype(np.uint8), bitorder="little").view("<i8")
 
 
-PROFILE_DDL = "id long, n long, d1 long, d2 long, bits array<long>, slot int, seen long"
+def scaled_sketch(shingles: np.ndarray) -> bytes:
+    """A bit sketch of at least four bits a shingle; folding it gives the sketch of half its size."""
+    size = max(BIT_LONGS * 64, 1 << (SKETCH_BITS_PER_SHINGLE * len(shingles) - 1).bit_length())
+    at = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two scaled sketches differ at the size of the smaller."""
+    small, large = sorted((a, b), key=len)
+    while len(large) > len(small):
+        large = large[: len(large) // 2] ^ large[len(large) // 2 :]
+    return int(np.bitwise_count(small ^ large).sum())
+
+
+PROFILE_DDL = "id long, n long, d1 long, d2 long, bits array<long>, sketch binary, slot int, seen long"
 
 
 def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -105,13 +121,14 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("slot", pa.int32()), ("seen", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("sketch", pa.binary()), ("slot", pa.int32()), ("seen", pa.int64())])
         for batch in batches:
-            size, digests, sketches, slots, held = [], [], [], [], 0
+            size, digests, sketches, scaled, slots, held = [], [], [], [], [], 0
             for s in shingle_sets(batch.column(1), words):
                 size.append(len(s))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
                 sketches.append(bit_sketch(s))
+                scaled.append(scaled_sketch(s) if len(s) else b"")
                 for band, parts, _ in bands(len(s), percent) if len(s) else ():
                     slots.append(key_slots(part_keys(s, band, parts)))
                     held += len(slots[-1])
@@ -125,11 +142,11 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 both = np.concatenate(digests).reshape(n, 2)
                 lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * BIT_LONGS, BIT_LONGS, dtype=np.int32), np.concatenate(sketches))
                 none = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists, *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists, pa.array(scaled, pa.binary()), *none], schema=schema)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 50_000):
             part = used[at : at + 50_000]
-            empty = [pa.nulls(len(part), schema.field(i).type) for i in range(5)]
+            empty = [pa.nulls(len(part), schema.field(i).type) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(part, pa.int32()), pa.array(counts[part])], schema=schema)
 
     return texts.mapInArrow(profile, PROFILE_DDL)
@@ -184,6 +201,22 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def possible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose scaled sketches allow them to be similar."""
+
+    @F.arrow_udf("boolean")
+    def possible(left: pa.Array, right: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for x, y, total in zip(left, right, np.asarray(n), strict=True):
+            a, b = (np.frombuffer(c.as_buffer(), np.uint8) for c in (x, y))
+            out.append((100 + percent) * sketch_distance(a, b) <= (100 - percent) * int(total))
+        return pa.array(out, pa.bool_())
+
+    left = pairs.join(known.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("left")), "u")
+    met = left.join(known.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("right")), "v")
+    return met.where(possible("left", "right", F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose texts' sets really are similar, from the sets themselves."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id"))
@@ -247,8 +280,14 @@ def similar_documents(
 
     keys = prefix_keys(texts, seen, words, percent)
     bucket = Window.partitionBy("key")
-    met = keys.withColumn("pivot", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where("pivot < last")
-    buckets = written(met.select("key", "id", "pivot"), "buckets")
+    met = keys.select(
+        "id",
+        F.min("id").over(bucket).alias("pivot"),
+        F.max("id").over(bucket).alias("last"),
+        F.bit_xor(F.xxhash64("id")).over(bucket).alias("members"),
+    ).where("pivot < last")
+    # documents that share one key mostly share many: buckets with the same members become one (if others join by chance, they are only compared)
+    buckets = written(met.groupBy(F.col("members").alias("key"), "id").agg(F.min("pivot").alias("pivot")), "buckets")
 
     def described(pairs: DataFrame) -> DataFrame:
         left = known.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u"), F.xxhash64("d1", "d2").alias("set_u"))
@@ -260,7 +299,7 @@ def similar_documents(
     apart = sum((F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(BIT_LONGS)), F.lit(0))
     near = described(star).where(few_enough(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"), percent) & (F.col("set_u") != F.col("set_v")))
     best = near.groupBy("u").agg(F.min(F.struct(apart.alias("apart"), "v")).alias("best")).select("u", "best.v")
-    linked = written(similar_pairs(written(best, "pairs"), texts, words, percent), "links")
+    linked = written(similar_pairs(written(possible_pairs(best, known, percent), "pairs"), texts, words, percent), "links")
     equal = same.select(F.col("id").alias("u"), F.col("first_id").alias("v"))
     labels = written(components(linked.union(equal)), "labels")
 
@@ -276,7 +315,8 @@ def similar_documents(
         (a["key"] == b["key"]) & (F.col("component_u") < F.col("component_v"))
         & few_enough(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"), percent),
     )
-    rest = written(cross.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), "pairs")
+    several_pairs = cross.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    rest = written(possible_pairs(several_pairs, known, percent), "pairs")
     more = similar_pairs(rest, texts, words, percent)
     final = components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     out = docs.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
