@@ -35,6 +35,7 @@ SINGLE_BELOW = 64
 COUNT_BITS = 18
 BIT_LONGS = 8
 SKETCH_BITS_PER_SHINGLE = 4
+MIDDLE_BYTES = 256
 FILTER_BITS = 24
 
 
@@ -105,6 +106,14 @@ def scaled_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sketch: bytes, size: int) -> bytes:
+    """A sketch folded to at most ``size`` bytes."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits.tobytes()
+
+
 def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     """Bits in which two scaled sketches differ at the size of the smaller."""
     small, large = sorted((a, b), key=len)
@@ -113,7 +122,7 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(small ^ large).sum())
 
 
-PROFILE_DDL = "id long, n long, d1 long, d2 long, bits array<long>, sketch binary, slot int, seen long"
+PROFILE_DDL = "id long, n long, d1 long, d2 long, bits array<long>, middle binary, sketch binary, slot int, seen long"
 
 
 def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -121,7 +130,7 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("sketch", pa.binary()), ("slot", pa.int32()), ("seen", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("middle", pa.binary()), ("sketch", pa.binary()), ("slot", pa.int32()), ("seen", pa.int64())])
         for batch in batches:
             size, digests, sketches, scaled, slots, held = [], [], [], [], [], 0
             for s in shingle_sets(batch.column(1), words):
@@ -142,11 +151,11 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 both = np.concatenate(digests).reshape(n, 2)
                 lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * BIT_LONGS, BIT_LONGS, dtype=np.int32), np.concatenate(sketches))
                 none = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists, pa.array(scaled, pa.binary()), *none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists, pa.array([folded(x, MIDDLE_BYTES) for x in scaled], pa.binary()), pa.array(scaled, pa.binary()), *none], schema=schema)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 50_000):
             part = used[at : at + 50_000]
-            empty = [pa.nulls(len(part), schema.field(i).type) for i in range(6)]
+            empty = [pa.nulls(len(part), schema.field(i).type) for i in range(7)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(part, pa.int32()), pa.array(counts[part])], schema=schema)
 
     return texts.mapInArrow(profile, PROFILE_DDL)
@@ -202,7 +211,12 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def possible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose scaled sketches allow them to be similar."""
+    """Those of ``pairs`` (u, v) whose sketches allow them to be similar: folded ones first, so that few whole ones travel."""
+    return allowed_pairs(allowed_pairs(pairs, known, "middle", percent), known, "sketch", percent)
+
+
+def allowed_pairs(pairs: DataFrame, known: DataFrame, sketch: str, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sketches in the given column allow them to be similar."""
 
     @F.arrow_udf("boolean")
     def possible(left: pa.Array, right: pa.Array, n: pa.Array) -> pa.Array:
@@ -212,8 +226,8 @@ def possible_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFram
             out.append((100 + percent) * sketch_distance(a, b) <= (100 - percent) * int(total))
         return pa.array(out, pa.bool_())
 
-    left = pairs.join(known.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("left")), "u")
-    met = left.join(known.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("right")), "v")
+    left = pairs.join(known.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col(sketch).alias("left")), "u")
+    met = left.join(known.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col(sketch).alias("right")), "v")
     return met.where(possible("left", "right", F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
 
 
