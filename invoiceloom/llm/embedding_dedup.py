@@ -1,7 +1,8 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In each pass the vectors are put in the lexicographic order of many concatenated one-bit random hashes, and each is compared
-with a bounded window of neighbours; the pairs found in all passes are united. Vectors that are close agree in long prefixes in some pass.
+In each pass the vectors, less the mean direction of the corpus, are put in the lexicographic order of many concatenated one-bit random
+hashes, and each is compared with a window of neighbours, block by block. Vectors that are close agree in long prefixes in some pass. Rounds of
+passes with new hashes follow until one joins no two components, so crowded directions get as many passes as they yield links, at any size.
 Links inside the components found this way are then counted in full: a component that lies within half the
 angle of its centre is linked throughout, and only vectors outside that are compared, block by block.
 """
@@ -22,18 +23,18 @@ from invoiceloom.llm.rows import column, written
 THRESHOLD = 0.95
 PASSES = 16
 BITS = 62
-WINDOW = 12
+WINDOW = 256
 BLOCK = 512
 
 
-def planes(dim: int, passes: int) -> np.ndarray:
-    """Normals of the random hyperplanes of all passes; the same for every task and run."""
-    return np.random.default_rng([20240611, dim]).standard_normal((dim, passes * BITS))
+def planes(dim: int, passes: int, turn: int = 0) -> np.ndarray:
+    """Normals of the random hyperplanes of all passes of a round; the same for every task and run."""
+    return np.random.default_rng([20240611, dim, turn]).standard_normal((dim, passes * BITS))
 
 
-def order_keys(vectors: np.ndarray, passes: int) -> np.ndarray:
+def order_keys(vectors: np.ndarray, passes: int, turn: int = 0) -> np.ndarray:
     """A whole number per vector and pass whose order is the lexicographic order of its hashes."""
-    bits = (vectors @ planes(vectors.shape[1], passes) > 0).reshape(len(vectors), passes, BITS)
+    bits = (vectors @ planes(vectors.shape[1], passes, turn) > 0).reshape(len(vectors), passes, BITS)
     return bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
@@ -43,16 +44,53 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def close_pairs(ids: np.ndarray, vectors: np.ndarray, window: int, threshold: float, first: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows at most ``window`` apart whose cosine is at least ``threshold``; the later row is at ``first`` or after."""
+def close_pairs(ids: np.ndarray, vectors: np.ndarray, window: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all rows which pairs of cosine ``threshold`` at most ``window`` apart connect; one for each row and block at most."""
     u, found = unit(vectors), []
-    for step in range(1, min(window, len(ids) - 1) + 1):
-        at = max(first - step, 0)
-        hit = np.flatnonzero(np.einsum("ij,ij->i", u[at:-step], u[at + step :]) >= threshold) + at
-        found.append((ids[hit], ids[hit + step]))
+    for at in range(0, max(len(ids) - window, 1), window):
+        block = u[at : at + 2 * window]
+        near = block @ block.T >= threshold
+        np.fill_diagonal(near, False)
+        rows = np.flatnonzero(near.any(axis=1))
+        if not len(rows):
+            continue
+        near = near[np.ix_(rows, rows)] | np.eye(len(rows), dtype=bool)
+        least = np.arange(len(rows))
+        while True:
+            now = np.where(near, least, len(rows)).min(axis=1)
+            now = now[now]
+            if (now == least).all():
+                break
+            least = now
+        moved = np.flatnonzero(least != np.arange(len(rows)))
+        found.append((ids[at + rows[moved]], ids[at + rows[least[moved]]]))
     return found
 
 
+def mean_directions(kinds: DataFrame, dtype: str) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each length; a task sends one sum per length."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            dims, cells = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                total = unit(np.frombuffer(b"".join(cells[i] for i in at), dtype).reshape(len(at), dim)).sum(axis=0)
+                known = sums.setdefault(dim, [0, np.zeros(dim)])
+                known[0] += len(at)
+                known[1] += total
+        columns = [list(sums), [n for n, _ in sums.values()], [x.tobytes() for _, x in sums.values()]]
+        types = (pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["dim", "n", "total"])
+
+    count, total = {}, {}
+    for r in sorted(kinds.select("dim", "vec").mapInArrow(add, "dim int, n long, total binary").collect()):
+        count[r.dim] = count.get(r.dim, 0) + r.n
+        total[r.dim] = total.get(r.dim, 0) + np.frombuffer(r.total)
+    return {dim: np.round(x / count[dim], 9) for dim, x in total.items()}
+
+
 FOUND = pa.schema(
     [("u", pa.int64()), ("v", pa.int64()), ("border", pa.int64()), ("place", pa.int32()), ("dim", pa.int32()), ("pass", pa.int32()), ("id", pa.int64()), ("vec", pa.binary())]
 )
@@ -92,7 +130,7 @@ def window_links(ordered: DataFrame, dtype: str, window: int, threshold: float)
                 before = tail if key == tail_key else []
                 own = np.concatenate([np.array([r[2] for r in before], np.int64), ids[a:b]])
                 matrix = np.frombuffer(b"".join([*(r[3] for r in before), *cells[a:b]]), dtype).reshape(len(own), int(dims[a]))
-                pairs += close_pairs(own, matrix, window, threshold, len(before))
+                pairs += close_pairs(own, matrix, window, threshold)
                 tail, tail_key = (before + rows[a:b])[-window:], key
             if pairs:
                 yield link_batch(pairs)
@@ -114,12 +152,52 @@ def border_links(borders: DataFrame, dtype: str, window: int, threshold: float)
         if len(left) and len(left) < len(ids):
             same = np.flatnonzero((dims == dims[left[-1]]) & (passes == passes[left[-1]]))
             matrix = np.frombuffer(b"".join(cells[i] for i in same), dtype).reshape(len(same), int(dims[left[-1]]))
-            pairs = close_pairs(ids[same], matrix, window, threshold, int((same < len(left)).sum()))
+            pairs = close_pairs(ids[same], matrix, window, threshold)
         return pa.Table.from_batches([link_batch(pairs)]).select(["u", "v"])
 
     return borders.groupBy("border").applyInArrow(meet, "u long, v long")
 
 
+def round_links(kinds: DataFrame, means: dict[int, np.ndarray], dtype: str, passes: int, window: int, threshold: float, turn: int) -> DataFrame:
+    """Links found by one round of sorted passes; each round has hashes of its own."""
+
+    @F.arrow_udf("array<long>")
+    def keys(vec: pa.Array) -> pa.Array:
+        out: list = [None] * len(vec)
+        cells = vec.to_pylist()
+        sizes = np.array([len(c) for c in cells])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            matrix = unit(np.frombuffer(b"".join(cells[i] for i in at), dtype).reshape(len(at), -1))
+            for i, k in zip(at, order_keys(matrix - means[matrix.shape[1]], passes, turn), strict=True):
+                out[i] = k
+        return pa.array(out, pa.list_(pa.int64()))
+
+    spread = kinds.select("dim", "id", "vec", F.posexplode(keys("vec")).alias("pass", "key"))
+    spread = spread.withColumn("tie", F.xxhash64("id", "pass", F.lit(turn)))
+    order = ("dim", "pass", "key", "tie", "id")
+    ordered = spread.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(window_links(ordered.select("dim", "pass", "id", "vec"), dtype, window, threshold), "windows")
+    borders = found.where("border is not null").select("border", "place", "dim", "pass", "id", "vec")
+    return found.where("u is not null").select("u", "v").union(border_links(borders, dtype, window, threshold)).distinct()
+
+
+def joining(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components, as pairs of these."""
+    for end in ("u", "v"):
+        known = labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+        links = links.join(known, end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
+    return links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def joined_labels(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` where components became part of others; ids that had none come in with theirs."""
+    merged = written(merged, "labels")
+    to = merged.select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    moved = labels.join(to, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    return moved.union(merged.join(labels, "id", "left_anti").select("id", "component"))
+
+
 def near_duplicates(
     df: DataFrame,
     id_column: str = "vec_id",
@@ -150,24 +228,18 @@ def near_duplicates(
     kinds = marked.join(equal, "digest").where("id = first_id").dropDuplicates(["digest"]).select("digest", "id", "dim", "vec", "copies")
     kinds = written(kinds, "vectors")
 
-    @F.arrow_udf("array<long>")
-    def keys(vec: pa.Array) -> pa.Array:
-        out: list = [None] * len(vec)
-        cells = vec.to_pylist()
-        sizes = np.array([len(c) for c in cells])
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            matrix = np.frombuffer(b"".join(cells[i] for i in at), dtype).reshape(len(at), -1)
-            for i, k in zip(at, order_keys(matrix.astype(np.float64), passes), strict=True):
-                out[i] = k
-        return pa.array(out, pa.list_(pa.int64()))
-
-    spread = kinds.select("dim", "id", "vec", F.posexplode(keys("vec")).alias("pass", "key"))
-    ordered = spread.repartitionByRange("dim", "pass", "key", "id").sortWithinPartitions("dim", "pass", "key", "id")
-    found = written(window_links(ordered.select("dim", "pass", "id", "vec"), dtype, window, threshold), "windows")
-    borders = found.where("border is not null").select("border", "place", "dim", "pass", "id", "vec")
-    links = found.where("u is not null").select("u", "v").union(border_links(borders, dtype, window, threshold)).distinct()
-    labels = components(links)
+    means = mean_directions(kinds, dtype)
+    labels, turn = None, 0
+    while True:
+        links = round_links(kinds, means, dtype, passes, window, threshold, turn)
+        if labels is None:
+            labels = written(components(links), "labels")
+        else:
+            joins = written(joining(links, labels), "links")
+            if joins.isEmpty():
+                break
+            labels = written(joined_labels(labels, components(joins)), "labels")
+        turn += 1
 
     # every link inside a component
     joined = written(kinds.join(labels, "id").select("id", "component", "dim", "vec", "copies"), "members")

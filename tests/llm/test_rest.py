@@ -48,6 +48,46 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def crowded_vectors(n=3000, dim=64, blobs=(0.7, 0.8, 0.88, 0.92)):
+    """A third of the vectors around a few common directions with mutual cosines of 0.7 to 0.94; every tenth vector has a partner at 0.951 to 0.97."""
+    rng = np.random.default_rng(5)
+    direction = lambda: (lambda x: x / np.linalg.norm(x))(rng.standard_normal(dim))
+    out, common = [], direction()
+    while len(out) < n:
+        if len(out) % 3 == 0:
+            share = blobs[len(out) // 3 % len(blobs)]
+            x = np.sqrt(share) * common + np.sqrt(1 - share) * direction()
+        else:
+            x = direction()
+        x /= np.linalg.norm(x)
+        out.append(x)
+        if len(out) % 10 < 2:
+            side = direction()
+            side -= (side @ x) * x
+            cosine = rng.uniform(0.951, 0.97)
+            out.append(cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side))
+    return np.array(out)
+
+
+def test_embedding_dedup_where_many_share_a_direction(spark):
+    x = crowded_vectors()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        now = np.where(near | np.eye(len(x), dtype=bool), least, len(x)).min(axis=1)
+        if (now == least).all():
+            break
+        least = now
+    linked = near.any(axis=1)
+    assert linked.sum() > 500
+    found = sum(got[i].n_links for i in range(len(x)))
+    print("links found", found, "of", near.sum(), "wrong components", sum(got[i].component_id != least[i] for i in got))
+    assert all(got[i].n_links == near[i].sum() and got[i].component_id == least[i] and got[i].kept == (least[i] == i) for i in got)
+
+
 def test_warc_round_trip(spark, tmp_path):
     odd = [
         (1, "u", "WARC/1.1\r\nabc\r\n\r\nWARC/1.1\r\nWARC/1.1"), (2, "u\r\nx y", None), (3, None, ""), (4, "u", "é" * 3000),
