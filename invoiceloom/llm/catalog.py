@@ -33,6 +33,16 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.col("license_passages")
+    names = F.array_join(F.array_sort(F.array_distinct(runs["license"])), ",")
+    best = F.array_max(runs["dice"])
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_passages"), names.alias("licenses"), F.round(best, 6).alias("best_dice")
+    )
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -91,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_chat_roles": op2_chat_roles,
     "op3_license_scan": op3_license_scan,
+    "op3_license_passages": op3_license_passages,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,

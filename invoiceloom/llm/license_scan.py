@@ -122,3 +122,76 @@ def scan(
     by_line = F.flatten(F.transform("lines", lambda line, i: unit(line, i)))
     whole = F.when(F.size("lines") > 1, unit(F.col("body"), F.lit(WHOLE_TEXT))).otherwise(F.array().cast(match_type))
     return unpacked(rows, df.columns, {"license_matches": F.concat(whole, by_line)})
+
+
+def passages(
+    df: DataFrame,
+    text_column: str = "text",
+    templates: list[tuple[str, str]] | None = None,
+    threshold_percent: int = THRESHOLD_PERCENT,
+) -> DataFrame:
+    """``df`` with ``license_passages``: (word, n_words, license, dice) of each run of words, across lines, that is like a template.
+
+    Runs hold at most ``(2 - t) / t`` times the template's bigrams, repeated ones counted each time. They begin and end with a bigram of the template: a
+    longer run around the same shared bigrams has no higher coefficient. Each first bigram takes its best end, the nearest of equals; of runs of one
+    template that overlap the best is kept, the first of equals. Texts that share too few bigrams with a template aren't searched for it. Rows stay
+    one to one; a column called ``license_passages`` is replaced.
+    """
+    told = [(name, template_bigrams(text)) for name, text in (TEMPLATES if templates is None else templates)]
+    told = [(name, grams) for name, grams in told if grams]
+    if not told:
+        raise ValueError("no template has a bigram")
+    t = threshold_percent
+    strings = lambda grams: F.array(*[F.lit(x) for x in grams])
+    literal = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("name"), F.lit(len(g)).alias("size"), strings(g).alias("grams"),
+                F.lit(-(-t * len(g) // (200 - t))).alias("least"), F.lit((200 - t) * len(g) // t).alias("most"),
+            )
+            for n, g in told
+        ]
+    )
+    every = strings(sorted({x for _, g in told for x in g}))
+    fewest = min(-(-t * len(g) // (200 - t)) for _, g in told)
+    run_type = "array<struct<word: int, n_words: int, license: string, dice: double>>"
+    none = F.array().cast(run_type)
+    let = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+
+    def run(pairs: Column, first: Column, last: Column, x: Column) -> Column:
+        own = F.array_distinct(F.slice(pairs, first + 1, last - first + 1))
+        dice = let(own, lambda a: F.lit(2.0) * F.size(F.array_intersect(a, x["grams"])) / (F.size(a) + x["size"]))
+        return F.struct((-dice).alias("worse"), (last - first + 2).alias("n_words"))
+
+    def best_from(pairs: Column, hits: Column, i: Column, x: Column) -> Column:
+        first = F.get(hits, i)
+        ends = F.filter(F.slice(hits, i + x["least"], x["most"]), lambda p: p < first + x["most"])
+        best = F.array_min(F.transform(ends, lambda last: run(pairs, first, last, x)))
+        return let(best, lambda b: F.struct(first.alias("word"), b["n_words"].alias("n_words"), x["name"].alias("license"), (-b["worse"]).alias("dice")))
+
+    def of_template(pairs: Column, hits: Column, x: Column) -> Column:
+        found = F.filter(F.transform(hits, lambda _, i: best_from(pairs, hits, i, x)), lambda m: 100 * m["dice"] >= t)
+
+        def add(kept: Column, m: Column) -> Column:
+            last = F.get(kept, F.size(kept) - 1)
+            apart = (F.size(kept) == 0) | (m["word"] >= last["word"] + last["n_words"])
+            better = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(m))
+            return F.when(apart, F.concat(kept, F.array(m))).when(m["dice"] > last["dice"], better).otherwise(kept)
+
+        return F.aggregate(found.cast(run_type), none, add)
+
+    def search(pairs: Column) -> Column:
+        positions = lambda x: F.filter(
+            F.transform(pairs, lambda g, i: F.when(F.array_contains(x["grams"], g), i)), lambda i: i.isNotNull()
+        )
+        shared = F.array_intersect(pairs, every)
+        near = let(shared, lambda s: F.filter(literal, lambda x: F.size(F.array_intersect(s, x["grams"])) >= x["least"]))
+        return F.flatten(F.transform(near, lambda x: let(positions(x), lambda hits: of_template(pairs, hits, x))))
+
+    def pairs_of(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+
+    text = F.coalesce(F.col("row")[text_column], F.lit(""))
+    rows = df.select(packed(df)).withColumn("body", text)
+    found = let(words_of(F.col("body")), lambda w: F.when(F.size(w) - 1 >= F.lit(max(fewest, 1)), let(pairs_of(w), search)).otherwise(none))
+    return unpacked(rows, df.columns, {"license_passages": F.array_sort(found)})

@@ -204,6 +204,45 @@ def test_license_scan(spark, documents):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_passages_across_lines(spark, documents):
+    import textwrap
+
+    def words(text):
+        return re.sub(license_scan.BETWEEN_WORDS, " ", text.translate(UP)).split()
+
+    long = [(n, t) for n, t in license_scan.TEMPLATES if len(words(t)) > 20]
+    story = "\n".join("some words of a readme that say how to build and to run it" for _ in range(12))
+    texts = [f"{story}\n\n{textwrap.fill(t, 78)}\n\n{story}" for _, t in long]
+    texts += ["Copyright 2021 by the authors. Licensed under CC BY-NC 4.0.", "x Licensed under\nthe MIT License y", story, None, "", "MIT"]
+    texts += [f"{texts[0]}\n{texts[0]}", long[0][1].replace("free of charge", "at no cost").replace("Software", "thing", 1) + " and more" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("license_passages", F.lit("clash"))
+    got = {r.doc_id: r.license_passages for r in license_scan.passages(df).collect()}
+    for i, text in enumerate(texts):
+        own = words(text or "")
+        pairs = [f"{a} {b}" for a, b in zip(own, own[1:])]  # noqa: B905
+        want = []
+        for name, template in license_scan.TEMPLATES:
+            b, kept = set(license_scan.template_bigrams(template)), []
+            hits = [k for k, g in enumerate(pairs) if g in b]
+            for first in hits:
+                runs = [(2.0 * len(set(pairs[first : k + 1]) & b) / (len(set(pairs[first : k + 1])) + len(b)), -k) for k in hits if first <= k < first + 125 * len(b) // 75]
+                dice, last = max(runs)
+                if 100 * dice < 75:
+                    continue
+                m = (first, 2 - last - first, name, dice)
+                if not kept or first >= kept[-1][0] + kept[-1][1]:
+                    kept.append(m)
+                elif dice > kept[-1][3]:
+                    kept[-1] = m
+            want += kept
+        assert [tuple(m) for m in got[i]] == sorted(want), i
+    for i, (name, _) in enumerate(long):
+        assert (name, 1.0) in [(m.license, m.dice) for m in got[i]]
+    assert [m.license for m in got[len(long)]] == ["CC-BY-NC-4.0"]
+    assert sum(m.license == long[0][0] and m.dice == 1.0 for m in got[len(long) + 6]) == 2
+    assert license_scan.passages(documents).count() == documents.count()
+
+
 def test_digest_of_lines_is_of_the_whole_text(spark):
     text = "\n".join(f"line number {i} of a long text" for i in range(20_000))
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
