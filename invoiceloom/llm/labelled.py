@@ -19,7 +19,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label_column: str,
     """(id, text, y) of at most ``rows`` labelled documents outside the held-out fold.
 
     Ids come in the order of a hash, so the same ones are drawn on every run and whatever the order of rows. Labels other than 0 and 1 and ids
-    whose labels disagree are left out. The drawn ids are at most ``rows`` and may be broadcast.
+    whose labels disagree are left out. The drawn ids are at most ``rows`` and may be broadcast. Rows that repeat an id give one text, that of the
+    least hash.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(label_column).cast("int").alias("y"))
@@ -33,7 +34,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label_column: str,
     there = known.join(documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
     drawn = there.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "id")
+    of_id = texts.join(F.broadcast(drawn), "id").groupBy("id")
+    return of_id.agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def platt(margins: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

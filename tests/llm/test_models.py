@@ -97,3 +97,12 @@ def test_samples_leave_out_the_held_out_fold_and_odd_labels(spark):
     assert len(labelled_sample(docs, labels, "quality", 5).collect()) == 5
     model = quality_classifier.train(docs, labels.limit(0))
     assert docs.select(quality_classifier.quality_score(model, F.col("text")).alias("s")).distinct().collect()[0].s == pytest.approx(0.5)
+
+
+def test_sample_is_bounded_in_rows_where_an_id_repeats(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(4, f"copy {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 1000).collect()
+    assert len(got) == len({r.id for r in got}) <= 20 and 4 in {r.id for r in got}
+    again = labelled_sample(docs.orderBy(F.desc("text")), labels, "quality", 1000).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
