@@ -143,20 +143,38 @@ def ngrams(codes: np.ndarray, doc: np.ndarray, n: int, family: int) -> tuple[np.
     return mixed(total[same]), doc[: len(doc) - n + 1][same]
 
 
-def byte_ngrams(data: np.ndarray, offsets: np.ndarray, n: int, family: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Like :func:`ngrams` over the bytes of the texts, A-Z lower-cased, in slices of ``RUN_BYTES``; n is at most 8."""
+def code_points(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where it begins, number) of every character; bytes of one that began before are passed over."""
+    at = np.flatnonzero(~CONTINUES[part])
+    code = part[at].astype(np.uint64)
+    size = 1 + (code >= 0xC0).astype(np.int64) + (code >= 0xE0) + (code >= 0xF0)
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = (code[more] << np.uint64(6)) | (part[np.minimum(at[more] + k, len(part) - 1)] & 0x3F).astype(np.uint64)
+    lead = np.array([0, 0, 0xC0 << 6, 0xE0 << 12, 0xF0 << 18], np.uint64)
+    return at, code - lead[size]
+
+
+def char_ngrams(data: np.ndarray, offsets: np.ndarray, n: int, family: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Like :func:`ngrams` over the characters of the texts, A-Z lower-cased, in slices of ``RUN_BYTES``; n is at most 4."""
     first = int(np.searchsorted(offsets, 0, "right")) - 1
-    for at in range(0, max(len(data) - n + 1, 0), RUN_BYTES):
-        part = TO_LOWER[data[at : at + RUN_BYTES + n - 1]]
+    for at in range(0, len(data), RUN_BYTES):
+        part = TO_LOWER[data[at : at + RUN_BYTES + 4 * n]]
         borders = np.clip(offsets[first:], at, at + len(part))
         doc = np.repeat(np.arange(first, len(offsets) - 1, dtype=np.int32), np.diff(borders))
-        # n bytes of a position as one number, then one multiplication spreads them over the high bits
-        total = np.zeros(len(part) - n + 1, np.uint64)
+        begin, code = code_points(part)
+        doc = doc[begin]
+        code = np.where(code < 256, code, code * BASE)
+        grams = min(int(np.searchsorted(begin, RUN_BYTES)), len(begin) - n + 1)
+        if grams <= 0:
+            continue
+        # the characters of a position as one number, then one multiplication spreads them over the high bits
+        total = np.zeros(grams, np.uint64)
         for i in range(n):
-            total |= part[i : len(part) - n + 1 + i].astype(np.uint64) << np.uint64(8 * i)
+            total += code[i : grams + i] << np.uint64(8 * i)
         total = (total + np.uint64(family << 40)) * BASE
-        same = doc[: len(total)] == doc[n - 1 :]
-        yield total[same], doc[: len(total)][same]
+        same = doc[:grams] == doc[n - 1 : grams + n - 1]
+        yield total[same], doc[:grams][same]
 
 
 def back_distance(words: Words) -> np.ndarray:

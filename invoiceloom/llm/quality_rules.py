@@ -18,8 +18,8 @@ from invoiceloom.llm import features as ft
 from invoiceloom.llm.labelled import labelled_sample, platt
 
 BITS = 15  # of each family
-WORD_GRAMS, BYTE_GRAMS = (1, 2), (3, 4)
-FAMILIES = len(WORD_GRAMS) + len(BYTE_GRAMS)
+WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 4)
+FAMILIES = len(WORD_GRAMS) + len(CHAR_GRAMS)
 SAMPLE_ROWS = 3000
 SCALE = 30.0
 PENALTY = 1e-6
@@ -48,8 +48,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarr
     for family, n in enumerate(WORD_GRAMS):
         h, doc = ft.ngrams(words.hashes, words.doc, n, family)
         yield family, slots(h, family), doc
-    for family, n in enumerate(BYTE_GRAMS, len(WORD_GRAMS)):
-        for h, doc in ft.byte_ngrams(data, offsets, n, family):
+    for family, n in enumerate(CHAR_GRAMS, len(WORD_GRAMS)):
+        for h, doc in ft.char_ngrams(data, offsets, n, family):
             yield family, slots(h, family), doc
 
 

@@ -106,3 +106,19 @@ def test_sample_is_bounded_in_rows_where_an_id_repeats(spark):
     assert len(got) == len({r.id for r in got}) <= 20 and 4 in {r.id for r in got}
     again = labelled_sample(docs.orderBy(F.desc("text")), labels, "quality", 1000).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("run_bytes", [1, 7, 1 << 20])
+def test_character_grams_are_of_code_points(monkeypatch, run_bytes):
+    monkeypatch.setattr(ft, "RUN_BYTES", run_bytes)
+    texts = ["Привет, мир", "", "ab", "ABCD abcd", "漢字漢字漢", "é😀é😀x", "ÿ\u07ff\u0800\uffff\U0010ffff"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    for n in (3, 4):
+        found = list(ft.char_ngrams(data, offsets, n, 2))
+        hashes, doc = (np.concatenate([f[i] for f in found]).tolist() for i in (0, 1))
+        want = [(re.sub("[A-Z]+", lambda m: m[0].lower(), t)[k : k + n], d) for d, t in enumerate(texts) for k in range(len(t) - n + 1)]
+        assert doc == [d for _, d in want]
+        assert len(set(zip([g for g, _ in want], hashes, strict=True))) == len({g for g, _ in want}) == len(set(hashes))
+    code = ft.code_points(np.frombuffer("aÿ\u07ff\u0800\uffff\U0010ffff".encode(), np.uint8))[1]
+    assert code.tolist() == [0x61, 0xFF, 0x7FF, 0x800, 0xFFFF, 0x10FFFF]
