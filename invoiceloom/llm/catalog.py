@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from invoiceloom.llm import byte_bpe, chat_roles, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc
+from invoiceloom.llm import (
+    byte_bpe, chat_roles, embedding_dedup, lexical_search, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, warc,
+)
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
 
@@ -97,6 +99,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_rules(documents, model).drop("text")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_chat_roles": op2_chat_roles,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 BLANK_CHARACTERS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -202,4 +209,26 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.v FROM reached r JOIN links l ON r.b = l.u),
         least_of AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
         SELECT s.doc_id, len(s.s) AS n_shingles, component_id FROM sets s JOIN least_of ON s.doc_id = a""",
+    "op13_lexical_search": f"""
+        WITH terms AS (
+            SELECT doc_id, row_number() OVER () AS doc, len(w) AS n, w
+            FROM (SELECT doc_id, regexp_extract_all(translate(text, {LOWER}), '{lexical_search.TERM}') AS w FROM documents) WHERE len(w) > 0),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM terms),
+        wanted AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {LOWER}), '{lexical_search.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+        counted AS (
+            SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM terms)
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+        weighed AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals),
+        impacts AS (
+            SELECT doc, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // all_terms)) AS impact
+            FROM counted JOIN terms USING (doc), totals),
+        scored AS (
+            SELECT item_id, doc, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score
+            FROM wanted JOIN weighed USING (term) JOIN impacts USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= {lexical_search.BEST}""",
 }
