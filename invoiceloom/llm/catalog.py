@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from invoiceloom.llm import (
-    byte_bpe, chat_roles, embedding_dedup, lexical_search, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, warc,
+    byte_bpe, chat_roles, embedding_dedup, lexical_search, license_scan, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, warc, whitening,
 )
 from invoiceloom.llm.labelled import held_out
 from invoiceloom.llm.rows import shared_folder
@@ -99,6 +99,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_rules(documents, model).drop("text")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_source_mixing": op12_source_mixing,
     "op13_lexical_search": op13_lexical_search,
 }
