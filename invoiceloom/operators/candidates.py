@@ -1,10 +1,10 @@
 """Field candidates from text blocks.
 
 One projection reads every pattern off a block; blocks without any finding stop
-there.  The rest is shuffled once by page: windows in reading order carry the open
-section forward and the next tax base backward inside a page, and one small row per
-page carries them across pages.  Aggregates keep the first finding of each field.
-So no task needs more than a page in order, however long a document is.
+there.  The rest is shuffled by page: windows in reading order carry the open section
+forward and the next tax base backward inside a page.  A page then is one row that
+nests its facts, and windows over those rows carry both across pages.  Aggregates keep
+the first finding of each field.
 """
 
 import re
@@ -186,12 +186,15 @@ def _value_of(fact: str) -> Column:
 def _in_reading_order(facts: DataFrame) -> DataFrame:
     """Section, next base and rank of names.
 
-    Windows work inside a page.  What crosses pages is one row per page: the section it
-    leaves open, its first base, and how many names it has in each section and before any.
+    Windows work inside a page; then a page is one row that nests its facts beside what
+    crosses pages: the section it leaves open, its first base, and how many names it has
+    in each section and before any.  Windows over those rows carry it on, and the facts
+    are unfolded again.  So facts are computed once and move twice: by page, by document.
     """
     w = Window.partitionBy("doc_id", "page").orderBy(*_FACT_ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = facts.withColumns(
+    is_name = F.col("fact") == "name"
+    placed = facts.withColumns(
         {
             "section_here": F.last(_value_of("opens"), ignorenulls=True).over(so_far),
             "base_here": F.expr(
@@ -200,17 +203,21 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
             ),
         }
     )
+    here = {x: F.col("section_here") == x for x in _SECTIONS} | {None: F.col("section_here").isNull()}
+    running = [F.when(where, F.count(F.when(is_name & where, 1)).over(so_far)) for where in here.values()]
+    local = placed.withColumn("rank_here", F.when(is_name, F.coalesce(*running)))
     at = F.struct(*_FACT_ORDER, "value")
-    is_name = F.col("fact") == "name"
 
     def names(condition: Column) -> Column:
         return F.count(F.when(is_name & condition, 1))
 
+    nested = [c for c in local.columns if c not in ("doc_id", "page")]
     pages = local.groupBy("doc_id", "page").agg(
+        F.collect_list(F.struct(*nested)).alias("facts"),
         F.max(F.when(F.col("fact") == "opens", at))["value"].alias("opened_last"),
         F.min(F.when(F.col("fact") == "net", at))["value"].alias("first_base"),
-        names(F.col("section_here").isNull()).alias("names_unopened"),
-        *[names(F.col("section_here") == x).alias(f"names_{x}") for x in _SECTIONS],
+        names(here[None]).alias("names_unopened"),
+        *[names(here[x]).alias(f"names_{x}") for x in _SECTIONS],
     )
     by_page = Window.partitionBy("doc_id").orderBy("page")
     before = by_page.rowsBetween(Window.unboundedPreceding, -1)
@@ -221,29 +228,26 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
         }
     )
 
-    def on_page(section: str) -> Column:
-        inherited = F.when(F.col("section_before") == section, F.col("names_unopened")).otherwise(0)
-        return F.col(f"names_{section}") + inherited
+    def inherited(section: str) -> Column:
+        return F.when(F.col("section_before") == section, F.col("names_unopened")).otherwise(0)
 
-    borders = carried.select(
-        F.col("doc_id").alias("border_doc"),
-        F.col("page").alias("border_page"),
-        "section_before",
-        "base_after",
-        *[F.coalesce(F.sum(on_page(x)).over(before), F.lit(0)).alias(f"{x}_before") for x in _SECTIONS],
-    )
-    here = (F.col("doc_id") == F.col("border_doc")) & F.col("page").eqNullSafe(F.col("border_page"))
-    met = local.join(borders, here).withColumns(
+    counts = {x: F.coalesce(F.sum(F.col(f"names_{x}") + inherited(x)).over(before), F.lit(0)) for x in _SECTIONS}
+    unfolded = carried.withColumns({f"{x}_before": n for x, n in counts.items()}).select(
+        "doc_id", "page", "section_before", "base_after", "names_unopened",
+        *[f"{x}_before" for x in _SECTIONS], F.inline("facts"),
+    )
+
+    def rank_in(section: str) -> Column:
+        """Names before it: on earlier pages, on this page before any section, in the section."""
+        opened_here = F.when(F.col("section_here").isNotNull(), inherited(section)).otherwise(0)
+        return F.when(F.col("section") == section, F.col(f"{section}_before") + opened_here + F.col("rank_here"))
+
+    met = unfolded.withColumns(
         {
             "section": F.coalesce("section_here", "section_before"),
             "next_base": F.coalesce("base_here", "base_after"),
         }
     )
-
-    def rank_in(section: str) -> Column:
-        mine = is_name & (F.col("section") == section)
-        return F.when(mine, F.count(F.when(mine, 1)).over(so_far) + F.col(f"{section}_before"))
-
     return met.withColumn("name_rank", F.coalesce(*[rank_in(x) for x in _SECTIONS])).select(
         *facts.columns, "section", "next_base", "name_rank"
     )
