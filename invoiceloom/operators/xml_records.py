@@ -93,22 +93,19 @@ def _sum(tag: str) -> Column:
     return xml_decimal(sums[tag])
 
 
-def parse_attachments(attachments: DataFrame) -> DataFrame:
-    """Readable records: one row per attachment of the supported format that holds one.
+def read_attachments(attachments: DataFrame) -> DataFrame:
+    """XML files with the ``record`` read from them: doc_id, att_seq, format, record.
 
-    Files that are cut off, have another root or tell neither number, date nor
-    seller yield no row.
+    The record is NULL for files of another format, files that are cut off, have another
+    root or tell neither number, date nor seller.
     """
-    parsed = (
-        xml_attachments(attachments)
-        .filter(F.col("format") == "facturae")
-        .select(
-            "doc_id",
-            "att_seq",
-            "format",
-            "raw_xml",
-            F.from_xml(F.col("raw_xml"), FILE_SCHEMA, {"ignoreNamespace": "true"}).alias("x"),
-        )
+    supported = F.when(F.col("format") == "facturae", F.col("raw_xml"))
+    parsed = xml_attachments(attachments).select(
+        "doc_id",
+        "att_seq",
+        "format",
+        "raw_xml",
+        F.from_xml(supported, FILE_SCHEMA, {"ignoreNamespace": "true"}).alias("x"),
     )
     readable = F.col("x").isNotNull() & F.col("x._corrupt_record").isNull()
     root = F.xpath_string("raw_xml", F.lit("local-name(/*)"))
@@ -134,10 +131,15 @@ def parse_attachments(attachments: DataFrame) -> DataFrame:
         F.struct(*[values[c].alias(c) for c in RECORD_COLUMNS]),
     )
     told = ("invoice_number", "issue_date", "supplier_name", "supplier_tax_id")
-    return (
-        parsed.select("doc_id", "att_seq", "format", F.inline(F.array_compact(F.array(record))))
-        .filter(F.coalesce(*told).isNotNull())
-    )
+    held = parsed.select("doc_id", "att_seq", "format", record.alias("record"))
+    known = F.coalesce(*[F.col(f"record.{c}") for c in told]).isNotNull()
+    return held.withColumn("record", F.when(known, F.col("record")))
+
+
+def parse_attachments(attachments: DataFrame) -> DataFrame:
+    """Readable records: one row per attachment of the supported format that holds one."""
+    read = read_attachments(attachments).filter(F.col("record").isNotNull())
+    return read.select("doc_id", "att_seq", "format", "record.*")
 
 
 def first_record(records: DataFrame) -> DataFrame:
@@ -155,3 +157,18 @@ def attachment_summary(attachments: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("xml_count"), last.alias("last"))
         .select("doc_id", "xml_count", F.col("last.format").alias("last_format"))
     )
+
+
+def attachment_results(attachments: DataFrame) -> DataFrame:
+    """One row per document with XML files: their number, the format of the last, and the first record.
+
+    ``att_seq`` and the record's columns are NULL where no file holds a record.
+    """
+    read = read_attachments(attachments)
+    first = F.min(F.when(F.col("record").isNotNull(), F.struct("att_seq", "record")))
+    last = F.max(F.struct("att_seq", "format"))
+    return (
+        read.groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("xml_count"), last.alias("last"), first.alias("first"))
+        .select("doc_id", "xml_count", F.col("last.format").alias("last_format"), "first.att_seq", "first.record.*")
+    )

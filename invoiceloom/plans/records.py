@@ -96,13 +96,28 @@ def totals_struct(net, tax, gross, advance=None, withholding=None, kind: str = M
     )
 
 
-def text_records(findings: DataFrame, branch: str, include_evidence: bool = True) -> DataFrame:
+def text_records(
+    findings: DataFrame, branch: str | Column, include_evidence: bool = True, *carried: str
+) -> DataFrame:
     """Records of the digital or the OCR branch, one per row of findings.
 
+    ``branch`` names the branch of all rows or is a column that tells it row by row.
     Columns that are NULL are missing fields, so documents without any finding
-    come out as error records once they are left-joined.
+    come out as error records once they are left-joined.  ``carried`` columns stay.
     """
-    policy_errors, policy_warns = MISSING_IS_ERROR[branch], MISSING_WARNS[branch]
+
+    def by_branch(value) -> Column:
+        """``value`` of a branch's name, whichever branch a row belongs to."""
+        if isinstance(branch, str):
+            return value(branch)
+        return F.when(branch == "digital", value("digital")).otherwise(value("ocr"))
+
+    def where_policy(policy: dict, field: str, value: Column) -> Column:
+        """``value`` in the branches whose policy names the field."""
+        return by_branch(lambda b: value if field in policy[b] else F.lit(None).cast("string"))
+
+    def missing_confidence(field: str) -> Column:
+        return by_branch(lambda b: F.lit(0.0 if field in MISSING_WARNS[b] else None).cast("double"))
 
     def hit(field: str) -> Column:
         return F.col(FIELD_COLUMNS[field])
@@ -142,22 +157,19 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
     # Step 2: confidence entries in their fixed order.
     def plain_confidence(field: str) -> Column:
         there = hit(field).isNotNull()
-        missing = F.lit(0.0) if field in policy_warns else F.lit(None)
-        return _present(field, F.when(there, hit(field)["confidence"]).otherwise(missing))
+        return _present(field, F.when(there, hit(field)["confidence"]).otherwise(missing_confidence(field)))
 
     def id_confidence(field: str, ok: str) -> Column:
         found = hit(field)["confidence"]
         checked = F.when(F.col(ok), found).otherwise(found * fv.INVALID_TAX_ID_FACTOR)
-        missing = F.lit(0.0) if field in policy_warns else F.lit(None)
-        return _present(field, F.when(hit(field).isNotNull(), checked).otherwise(missing))
+        return _present(field, F.when(hit(field).isNotNull(), checked).otherwise(missing_confidence(field)))
 
     date = hit("invoice_data.issue_date")
-    date_missing = F.lit(0.0) if "invoice_data.issue_date" in policy_warns else F.lit(None)
     date_confidence = _present(
         "invoice_data.issue_date",
         F.when(F.col("issue").isNotNull(), date["confidence"])
         .when(date.isNotNull(), F.lit(0.0))
-        .otherwise(date_missing),
+        .otherwise(missing_confidence("invoice_data.issue_date")),
     )
     has_lines = F.size("lines") > 0
     thirds = [F.coalesce(hit(f"totals.{t}")["confidence"], F.lit(0.0)) for t in amounts]
@@ -177,7 +189,7 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
             ),
         ),
         compact(
-            entry("tax_lines", F.when(has_lines, TAX_LINES_CONFIDENCE[branch]).otherwise(0.0)),
+            entry("tax_lines", F.when(has_lines, by_branch(lambda b: F.lit(TAX_LINES_CONFIDENCE[b]))).otherwise(0.0)),
             *[_present(f"totals.{t}", hit(f"totals.{t}")["confidence"]) for t in amounts],
             entry("totals", (thirds[0] + thirds[1] + thirds[2]) / 3),
         ),
@@ -198,9 +210,7 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
 
     # Step 3: messages in their fixed order.
     def missing_warning(field: str) -> Column:
-        if field not in policy_warns:
-            return F.lit(None).cast("string")
-        return F.when(hit(field).isNull(), fv.MSG_MISSING[field])
+        return where_policy(MISSING_WARNS, field, F.when(hit(field).isNull(), fv.MSG_MISSING[field]))
 
     def id_warning(field: str, ok: str, message: str) -> Column:
         bad = hit(field).isNotNull() & ~F.col(ok)
@@ -224,11 +234,11 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
         F.transform("total_checks", lambda w: w["message"]),
         compact(F.when(~F.col("complete"), fv.MSG_INCOMPLETE)),
     )
+    is_error = {f: by_branch(lambda b, f=f: F.lit(MISSING_IS_ERROR[b].get(f, False))) for f in fv.REQUIRED_FIELDS}
     errors = compact(
         *[
-            F.when(hit(f).isNull(), error("missing_field", fv.MSG_MISSING[f], f))
+            F.when(is_error[f] & hit(f).isNull(), error("missing_field", fv.MSG_MISSING[f], f))
             for f in fv.REQUIRED_FIELDS
-            if policy_errors.get(f)
         ]
     )
     invoice = invoice_struct(
@@ -251,7 +261,7 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
     return checked.select(
         "doc_id",
         "kind",
-        F.lit(branch).alias("route"),
+        by_branch(F.lit).alias("route"),
         F.when(F.col("complete"), "ok").otherwise("error").alias("status"),
         F.when(F.col("complete"), invoice).alias("invoice"),
         mean_above_zero(F.col("entries")).alias("global_score"),
@@ -260,8 +270,9 @@ def text_records(findings: DataFrame, branch: str, include_evidence: bool = True
         warnings.alias("warnings"),
         errors.cast(schemas.ERRORS).alias("errors"),
         (
-            evidence_map(SOURCE[branch]) if include_evidence else F.lit(None).cast(schemas.EVIDENCE)
+            evidence_map(by_branch(lambda b: F.lit(SOURCE[b]))) if include_evidence else F.lit(None).cast(schemas.EVIDENCE)
         ).alias("evidence"),
+        *carried,
     )
 
 
@@ -279,7 +290,7 @@ def invalid_date(message: str, shown: Column) -> Column:
     return F.concat(F.lit(message + fv.MSG_DATE_DETAIL + "'"), shown, F.lit("'"))
 
 
-def evidence_map(source: str) -> Column:
+def evidence_map(source: Column) -> Column:
     """Where each resolved field and each part of a tax line was read."""
 
     def seen(hit: Column) -> Column:
@@ -287,7 +298,7 @@ def evidence_map(source: str) -> Column:
             hit["value"].alias("text"),
             hit["page"].alias("page"),
             hit["bbox"].alias("bbox"),
-            F.lit(source).alias("source"),
+            source.alias("source"),
         )
 
     fixed = compact(

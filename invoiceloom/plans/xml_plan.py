@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions import is_valid_tax_id, parse_invoice_date, plain_rate
 from ..functions.money import XML_MONEY
 from ..operators.validate import total_warnings
-from ..operators.xml_records import attachment_summary, first_record, parse_attachments
+from ..operators.xml_records import attachment_results
 from .records import (
     compact,
     entry,
@@ -153,6 +153,7 @@ def xml_records(records: DataFrame, include_evidence: bool = True) -> DataFrame:
         (
             F.when(F.col("complete"), xml_evidence()) if include_evidence else F.lit(None)
         ).cast(schemas.EVIDENCE).alias("evidence"),
+        *[c for c in ("att_seq", "xml_count", "last_format") if c in records.columns],
     )
 
 
@@ -191,53 +192,45 @@ def xml_evidence() -> Column:
     return F.map_from_entries(last_wins(F.concat(F.array(*fixed), lines, F.array(*sums))))
 
 
+def error_columns(code: Column, message: Column, warnings: Column) -> dict:
+    """The columns of an error response, but for doc_id, kind and route."""
+    told = F.struct(code.alias("code"), message.alias("message"), F.lit("file").alias("field"))
+    return {
+        "status": F.lit("error"),
+        "invoice": F.lit(None).cast(schemas.INVOICE),
+        "global_score": F.lit(0.0),
+        "fields": F.create_map().cast("map<string,double>"),
+        "needs_review": F.array().cast("array<string>"),
+        "warnings": warnings,
+        "errors": F.array(told).cast(schemas.ERRORS),
+        "evidence": F.lit(None).cast(schemas.EVIDENCE),
+    }
+
+
 def error_record(rows: DataFrame, route: str) -> DataFrame:
     """Error responses from doc_id, kind, code, message, warnings."""
-    return rows.select(
-        "doc_id",
-        "kind",
-        F.lit(route).alias("route"),
-        F.lit("error").alias("status"),
-        F.lit(None).cast(schemas.INVOICE).alias("invoice"),
-        F.lit(0.0).alias("global_score"),
-        F.create_map().cast("map<string,double>").alias("fields"),
-        F.array().cast("array<string>").alias("needs_review"),
-        "warnings",
-        F.array(
-            F.struct(
-                F.col("code").alias("code"),
-                F.col("message").alias("message"),
-                F.lit("file").alias("field"),
-            )
-        )
-        .cast(schemas.ERRORS)
-        .alias("errors"),
-        F.lit(None).cast(schemas.EVIDENCE).alias("evidence"),
-    )
+    told = error_columns(F.col("code"), F.col("message"), F.col("warnings"))
+    return rows.select("doc_id", "kind", F.lit(route).alias("route"), *[c.alias(n) for n, c in told.items()])
 
 
 def xml_branch(documents: DataFrame, attachments: DataFrame, include_evidence: bool = True) -> DataFrame:
-    """All documents of the XML route: records, or the reason why there is none."""
-    records = first_record(parse_attachments(attachments))
+    """All documents of the XML route: records, or the reason why there is none.
+
+    Attachments are parsed in one pass and reduced to a row per document, which tells the
+    first record, or how many XML files there are and the format of the last.
+    """
     known = documents.select("doc_id", "kind")
-    done = xml_records(records.join(known, "doc_id", "left_semi"), include_evidence)
-    failed = (
-        known.join(records.select("doc_id"), "doc_id", "left_anti")
-        .join(attachment_summary(attachments), "doc_id", "left")
-        .select(
-            "doc_id",
-            "kind",
-            F.when(F.col("xml_count").isNull(), "no_xml_found")
-            .otherwise("xml_parse_failed")
-            .alias("code"),
-            F.when(F.col("xml_count").isNull(), fv.MSG_NO_XML)
-            .otherwise(F.concat(F.lit(fv.MSG_XML_FORMAT), "last_format"))
-            .alias("message"),
-            F.array(
-                F.when(F.col("xml_count").isNull(), fv.MSG_NO_XML_WARNING).otherwise(
-                    F.concat(F.lit(fv.MSG_XML_FORMAT_WARNING), "last_format")
-                )
-            ).alias("warnings"),
-        )
+    mine = attachments.join(known.select("doc_id"), "doc_id", "left_semi")
+    told = known.join(attachment_results(mine), "doc_id", "left")
+    records = xml_records(told, include_evidence)
+    none = F.col("xml_count").isNull()
+    instead = error_columns(
+        F.when(none, "no_xml_found").otherwise("xml_parse_failed"),
+        F.when(none, fv.MSG_NO_XML).otherwise(F.concat(F.lit(fv.MSG_XML_FORMAT), "last_format")),
+        F.array(
+            F.when(none, fv.MSG_NO_XML_WARNING).otherwise(F.concat(F.lit(fv.MSG_XML_FORMAT_WARNING), "last_format"))
+        ),
     )
-    return done.unionByName(error_record(failed, "xml"))
+    return records.withColumns(
+        {c: F.when(F.col("att_seq").isNull(), other).otherwise(F.col(c)) for c, other in instead.items()}
+    ).drop("att_seq", "xml_count", "last_format")
