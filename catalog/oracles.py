@@ -1,5 +1,7 @@
 """The SQL each registered query is checked against."""
 
+import re
+
 from invoiceloom import fixed_values as fv
 
 from . import prelude as p
@@ -280,15 +282,13 @@ UNION ALL SELECT doc_id, 'tax_lines[' || rate || ']' FROM xml_lines JOIN (SELECT
 UNION ALL SELECT DISTINCT doc_id, 'tax_lines' FROM xml_lines JOIN (SELECT doc_id, shape FROM xml_docs) USING (doc_id) WHERE {_READABLE})""",
 )
 _PARTS = "FROM xml_lines JOIN (SELECT doc_id, shape FROM xml_docs) USING (doc_id) WHERE shape NOT IN (4, 5, 6)"
-oracle(
-    "x10_xml_evidence",
-    f"""SELECT doc_id, field_name, text, 1 AS page, 'xml' AS source FROM (
+_XML_EVIDENCE = f"""SELECT doc_id, field_name, text FROM (
 SELECT doc_id, unnest([{_NINE}]) AS field_name, unnest([number, CAST(issue_date AS VARCHAR), supplier_tax_id, supplier_name, customer_tax_id,
        customer_name, CAST(net AS VARCHAR), CAST(tax AS VARCHAR), CAST(gross AS VARCHAR)]) AS text FROM xml_docs WHERE {_READABLE}
 UNION ALL SELECT doc_id, 'tax_lines[' || rate || '.00].tax_rate', rate || '.00' {_PARTS}
 UNION ALL SELECT doc_id, 'tax_lines[' || rate || '.00].tax_base', CAST(base AS VARCHAR) {_PARTS}
-UNION ALL SELECT doc_id, 'tax_lines[' || rate || '.00].tax_amount', CAST(amount AS VARCHAR) {_PARTS})""",
-)
+UNION ALL SELECT doc_id, 'tax_lines[' || rate || '.00].tax_amount', CAST(amount AS VARCHAR) {_PARTS})"""
+oracle("x10_xml_evidence", f"SELECT doc_id, field_name, text, 1 AS page, 'xml' AS source FROM ({_XML_EVIDENCE})")
 
 # ---- model proposals --------------------------------------------------------
 oracle(
@@ -296,19 +296,40 @@ oracle(
     "SELECT doc_id, CASE WHEN writing <> 4 THEN number END AS number, CASE WHEN writing = 4 THEN 'no_json' END AS error FROM asked",
 )
 oracle("m2_proposed_fields", "SELECT doc_id, field_name, value, confidence FROM proposed")
-p.CTES["signals"] = """
+_REQ = fv.REQUIRED_FIELDS
+_LOW_OCR = "(r.kind IN ('scanned', 'hybrid') AND r.doc_id % 37 = 10)"
+_LOW_CASES = """CASE WHEN w.number IS NULL AND w.route = 'ocr' THEN 'invoice_data.number' END,
+  CASE WHEN (w.date_text IS NOT NULL AND w.issue_date IS NULL) OR (w.date_text IS NULL AND w.route = 'ocr') THEN 'invoice_data.issue_date' END,
+  CASE WHEN (w.supplier_id IS NOT NULL AND NOT w.supplier_ok) OR (w.supplier_id IS NULL AND w.route = 'ocr') THEN 'supplier.tax_id' END,
+  CASE WHEN (w.customer_id IS NOT NULL AND NOT w.customer_ok) OR (w.customer_id IS NULL AND w.route = 'ocr') THEN 'customer.tax_id' END"""
+p.CTES["signals"] = f"""
 SELECT r.*, r.status = 'error' OR r.lines_text = '' AS tax_unresolved, r.kind IN ('scanned', 'hybrid') AS is_scanned,
-       r.errors LIKE '%missing_field%' AS missing_required,
-       coalesce((w.date_text IS NOT NULL AND w.issue_date IS NULL) OR (w.supplier_id IS NOT NULL AND NOT w.supplier_ok)
-                OR (w.customer_id IS NOT NULL AND NOT w.customer_ok)
-                OR (w.route = 'ocr' AND (w.number IS NULL OR w.date_text IS NULL OR w.supplier_id IS NULL OR w.customer_id IS NULL)), false) AS low_field
+       concat_ws(', ', {", ".join(f"CASE WHEN contains(r.errors, 'missing_field:{f}') THEN '{f}' END" for f in _REQ)}) AS missing_required,
+       CASE WHEN w.doc_id IS NULL THEN '' ELSE concat_ws(', ', {_LOW_CASES}) END AS low_key,
+       {_LOW_OCR} AS low_ocr,
+       CASE WHEN w.doc_id IS NULL THEN [] ELSE list_filter([CASE WHEN w.supplier_name_c IS NULL THEN 'supplier.legal_name' END,
+         CASE WHEN w.customer_name_c IS NULL THEN 'customer.legal_name' END, CASE WHEN w.n_lines = 0 THEN 'tax_lines' END,
+         CASE WHEN (CASE WHEN net IS NULL THEN 0 ELSE 0.85 END + CASE WHEN tax IS NULL THEN 0 ELSE 0.80 END + CASE WHEN gross IS NULL THEN 0 ELSE 0.90 END) / 3 < 0.6 THEN 'totals' END,
+         {_LOW_CASES}], lambda x: x IS NOT NULL) END AS low_all
 FROM records r LEFT JOIN rec_wide w USING (doc_id)"""
-p.CTES["reasons"] = """
-SELECT *, concat_ws('|', CASE WHEN missing_required THEN 'missing_field' END, CASE WHEN global_score < 0.6 THEN 'low_confidence' END,
-                    CASE WHEN low_field THEN 'low_confidence_field' END, CASE WHEN is_scanned AND tax_unresolved THEN 'complex_scanned' END,
-                    CASE WHEN tax_unresolved THEN 'tax_table_unresolved' END) AS codes
-FROM signals"""
-oracle("m3_model_work_list", "SELECT doc_id, codes FROM reasons WHERE codes <> ''")
+
+
+def _reasons(missing: str, low: str) -> str:
+    """Codes and details of a work list; ``missing`` and ``low`` are lists of required fields as text."""
+    cases = (
+        (f"{missing} <> ''", "'missing_field'", f"'{fv.MSG_MODEL_MISSING_FIELD}' || {missing}"),
+        ("global_score < 0.6", "'low_confidence'", "'Confianza global < 0.6'"),
+        (f"{low} <> ''", "'low_confidence_field'", f"'{fv.MSG_MODEL_LOW_FIELD}' || {low}"),
+        ("is_scanned AND tax_unresolved", "'complex_scanned'", f"'{fv.MSG_MODEL_COMPLEX_SCANNED}'"),
+        ("tax_unresolved", "'tax_table_unresolved'", f"'{fv.MSG_MODEL_TABLE}'"),
+        ("low_ocr", "'low_ocr_quality'", f"'{fv.MSG_MODEL_LOW_OCR}'"),
+    )
+    told = [", ".join(f"CASE WHEN {c[0]} THEN {c[i]} END" for c in cases) for i in (1, 2)]
+    return f"concat_ws('|', {told[0]}) AS codes, concat_ws('|', {told[1]}) AS details"
+
+
+p.CTES["reasons"] = f"SELECT *, {_reasons('missing_required', 'low_key')} FROM signals"
+oracle("m3_model_work_list", "SELECT doc_id, codes, details FROM reasons WHERE codes <> ''")
 oracle(
     "m4_proposal_candidates",
     "SELECT doc_id, field_name, value, round(confidence * 0.7, 6) AS confidence, 1 AS page, 'vlm' AS source FROM proposed",
@@ -328,14 +349,34 @@ FROM reasons r LEFT JOIN rec_model m USING (doc_id) LEFT JOIN asked a USING (doc
 )
 oracle(
     "m8_response_signals",
-    "SELECT doc_id, regexp_replace(errors, '[a-z_]+:', '', 'g') AS missing, is_scanned, tax_unresolved FROM signals",
+    """SELECT doc_id, regexp_replace(errors, '[a-z_]+:', '', 'g') AS missing, is_scanned, tax_unresolved,
+array_to_string(list_sort(low_all), '|') AS low_fields FROM signals""",
 )
 
 # ---- resolution -------------------------------------------------------------
-p.CTES["competing"] = """
-SELECT doc_id, field_name, value, confidence, page, seq, CASE WHEN doc_id % 2 = 0 THEN 'digital_text' ELSE 'ocr' END AS source,
-       CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS priority FROM cands
-UNION ALL SELECT doc_id, field_name, value, confidence * 0.7, 1, 0, 'vlm', 5 FROM proposed"""
+_CHAIN = (
+    "feat", "f_number", "f_date", "f_supplier_id", "f_customer_id", "f_sections", "f_names", "f_bases", "f_pairs", "f_rates", "f_lines",
+    "f_gross", "f_net_any", "f_tax_any", "f_net", "f_tax", "cands",
+)
+# the same findings for each source of a document: its id doubled, plus 1 for OCR
+p.CTES["rendered_s"] = """
+SELECT 2 * doc_id + s AS doc_id, made_as, page, block_seq, y0, text, ord FROM rendered,
+  (SELECT unnest([0, 1]) AS s) WHERE CASE s WHEN 1 THEN made_as IN ('scanned', 'hybrid')
+  ELSE made_as IN ('digital', 'embedded_xml') OR (made_as = 'hybrid' AND starts_with(text, 'FACTURA ')) END"""
+for _name in _CHAIN:
+    p.CTES[f"{_name}_s"] = re.sub(rf"\b(rendered|{'|'.join(_CHAIN)})\b", r"\1_s", p.CTES[_name])
+p.CTES["competing"] = f"""
+SELECT doc_id // 2 AS doc_id, field_name, value, CAST(confidence AS DOUBLE) AS confidence, page, seq,
+       CASE WHEN doc_id % 2 = 0 THEN 'digital_text' ELSE 'ocr' END AS source, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS priority FROM cands_s
+UNION ALL SELECT doc_id, field_name, text, 0.95, 1, 0, 'xml', 1 FROM ({"{xml_evidence}"})
+UNION ALL SELECT doc_id, 'tax_lines[' || rate || '.0].' || part, value, confidence, 1, "row", 'layout', 4 FROM (
+  SELECT doc_id, "row", rate, confidence, unnest(['tax_rate', 'tax_base', 'tax_amount']) AS part,
+         unnest([rate || '.0', CAST(base AS VARCHAR), CAST(amount AS VARCHAR)]) AS value FROM table_lines) WHERE value IS NOT NULL
+UNION ALL SELECT doc_id, 'totals.net_amount', CAST(CAST(sum(base) AS DECIMAL(28,2)) AS VARCHAR), avg(confidence), 1, 1000, 'layout', 4
+  FROM table_lines GROUP BY doc_id HAVING sum(base) IS NOT NULL
+UNION ALL SELECT doc_id, 'totals.tax_amount', CAST(CAST(sum(amount) AS DECIMAL(28,2)) AS VARCHAR), avg(confidence), 1, 1001, 'layout', 4
+  FROM table_lines GROUP BY doc_id HAVING sum(amount) IS NOT NULL
+UNION ALL SELECT doc_id, field_name, value, confidence * 0.7, 1, 0, 'vlm', 5 FROM proposed""".replace("{xml_evidence}", _XML_EVIDENCE)
 p.CTES["winners"] = """
 SELECT DISTINCT ON (doc_id, field_name) * FROM competing WHERE trim(value) <> '' ORDER BY doc_id, field_name, priority, confidence DESC, seq"""
 _RANKS = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(fv.RECORD_FIELDS))
@@ -362,6 +403,19 @@ oracle(
 coalesce(string_agg(warning, '|' ORDER BY position), '') AS warnings FROM adjusted GROUP BY doc_id""",
 )
 
+_BY_POSITION = [f for f in fv.RECORD_FIELDS if f in fv.REQUIRED_FIELDS]
+_NEEDED = ", ".join(f"CASE WHEN count(*) FILTER (WHERE field_name = '{f}') = 0 THEN '{f}' END" for f in fv.REQUIRED_FIELDS)
+_LOW_KEYS = ", ".join(f"CASE WHEN count(*) FILTER (WHERE field_name = '{f}' AND final < 0.7) > 0 THEN '{f}' END" for f in _BY_POSITION)
+p.CTES["resolved"] = f"""
+SELECT k.doc_id, k.kind, coalesce(avg(final), 0) AS global_score, concat_ws(', ', {_NEEDED}) AS missing_required, concat_ws(', ', {_LOW_KEYS}) AS low_key,
+       k.kind IN ('scanned', 'hybrid') AS is_scanned, k.doc_id NOT IN (SELECT doc_id FROM competing WHERE field_name LIKE 'tax_lines[%') AS tax_unresolved,
+       k.kind IN ('scanned', 'hybrid') AND k.doc_id % 37 = 10 AS low_ocr
+FROM kinds k LEFT JOIN adjusted a USING (doc_id) GROUP BY k.doc_id, k.kind"""
+oracle(
+    "m3_resolution_work_list",
+    f"SELECT doc_id, codes, details FROM (SELECT *, {_reasons('missing_required', 'low_key')} FROM resolved) WHERE codes <> ''",
+)
+
 # ---- records ----------------------------------------------------------------
 _ALL = f"SELECT doc_id, kind, route, {_FLAT}, needs_review, warnings, errors FROM"
 oracle("a1_digital_records", f"{_ALL} rec_digital")

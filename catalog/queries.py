@@ -10,7 +10,7 @@ from invoiceloom import fixed_values as fv
 from invoiceloom import functions as fn
 from invoiceloom import schemas
 from invoiceloom.operators import evaluate as ev
-from invoiceloom.operators import metrics, prepare, proposals, resolve, validate, xml_records
+from invoiceloom.operators import metrics, prepare, producers, proposals, resolve, validate, xml_records
 from invoiceloom.operators import candidates as cand
 from invoiceloom.operators import tax_tables as tt
 from invoiceloom.plans import corpus, proposal_plan, xml_plan
@@ -761,10 +761,31 @@ def m2_proposed_fields(spark, sf):
     )
 
 
+def _codes_and_details(work: DataFrame) -> DataFrame:
+    """Reasons as text; the rounded score in one of the details is left out."""
+    shown = F.regexp_replace(F.array_join(F.transform("reasons", lambda r: r["detail"]), "|"), "global [0-9.]+ <", "global <")
+    return work.select("doc_id", F.array_join("codes", "|").alias("codes"), shown.alias("details"))
+
+
+def _scan_quality(spark, sf):
+    return proposals.ocr_quality(kinds(spark, sf), corpus_tables(spark, sf)["ocr_lines"])
+
+
 @query
 def m3_model_work_list(spark, sf):
+    """Reasons told by finished responses and by the quality of OCR."""
     r = corpus.extract_invoices(corpus_tables(spark, sf))
-    return proposals.model_work_list(r).select("doc_id", F.array_join("codes", "|").alias("codes"))
+    return _codes_and_details(proposals.model_work_list(r, _scan_quality(spark, sf)))
+
+
+@query
+def m3_resolution_work_list(spark, sf):
+    """Reasons told by a resolution of competing sources."""
+    c = _competing(spark, sf)
+    signals = proposals.resolution_signals(
+        resolve.resolve_documents(c, fv.RECORD_FIELDS), kinds(spark, sf), c, _scan_quality(spark, sf)
+    )
+    return _codes_and_details(proposals.work_list(signals))
 
 
 @query
@@ -802,17 +823,25 @@ def m7_merged_records(spark, sf):
 def m8_response_signals(spark, sf):
     r = corpus.extract_invoices(corpus_tables(spark, sf))
     return proposals.response_signals(r).select(
-        "doc_id", F.array_join("missing", "|").alias("missing"), "is_scanned", "tax_unresolved"
+        "doc_id", F.array_join("missing", "|").alias("missing"), "is_scanned", "tax_unresolved",
+        F.array_join(F.array_sort("low_fields"), "|").alias("low_fields"),
     )
 
 
 # ---- resolution -------------------------------------------------------------
 def _competing(spark, sf):
-    """Candidates of text and of models for the same documents."""
-    found = cand.candidates(findings(spark, sf))
-    ocr = found.filter(F.col("doc_id") % 2 == 1).withColumn("source", F.lit("ocr"))
-    asked = proposal_candidates(spark, sf).select(*found.columns)
-    return found.filter(F.col("doc_id") % 2 == 0).unionByName(ocr).unionByName(asked)
+    """Candidates of all five sources: PDF text, OCR, XML, fiscal tables and models.
+
+    Hybrids hold digital text and OCR, XML invoices text and a record, all of them tables, a third model answers.
+    """
+    t = corpus_tables(spark, sf)
+    texts = t["blocks"].unionByName(prepare.ocr_blocks(t["ocr_lines"]))
+    return producers.competing(
+        producers.text_candidates(prepare.non_blank(texts)),
+        producers.xml_candidates(xml_plan.xml_records(xml_first(spark, sf))),
+        producers.table_candidates(table_lines(spark, sf)),
+        proposal_candidates(spark, sf),
+    )
 
 
 @query

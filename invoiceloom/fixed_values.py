@@ -153,6 +153,7 @@ PROPOSAL_CONF_FIELD = 1.0
 PROPOSAL_CONF_AMOUNT = 0.9
 MODEL_GLOBAL_BELOW = 0.6
 MODEL_FIELD_BELOW = 0.6
+OCR_LINES_BELOW = 5  # own choice: a scan with fewer lines was read badly
 
 # ---- messages --------------------------------------------------------------
 UNKNOWN_NAME = "Desconocido"

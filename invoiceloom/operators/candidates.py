@@ -16,6 +16,7 @@ from .. import fixed_values as fv
 from ..functions import MONEY, matched_amount, strip
 from ..functions.tax_rates import RATE, pointed_rate
 
+DOCUMENT = ("doc_id",)
 READING_ORDER = ("page", "y0", "block_seq")
 _FIRST_FIELDS = ("number", "issue_date", "supplier_tax_id", "customer_tax_id", "net", "tax", "gross")
 # Inside one block a tax pair stands before the base, so it may take a base of its own block.
@@ -183,7 +184,7 @@ def _value_of(fact: str) -> Column:
     return F.when(F.col("fact") == fact, F.col("value"))
 
 
-def _in_reading_order(facts: DataFrame) -> DataFrame:
+def _in_reading_order(facts: DataFrame, keys: tuple = DOCUMENT) -> DataFrame:
     """Section, next base and rank of names.
 
     Windows work inside a page; then a page is one row that nests its facts beside what
@@ -191,7 +192,7 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
     in each section and before any.  Windows over those rows carry it on, and the facts
     are unfolded again.  So facts are computed once and move twice: by page, by document.
     """
-    w = Window.partitionBy("doc_id", "page").orderBy(*_FACT_ORDER)
+    w = Window.partitionBy(*keys, "page").orderBy(*_FACT_ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_name = F.col("fact") == "name"
     placed = facts.withColumns(
@@ -199,7 +200,7 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
             "section_here": F.last(_value_of("opens"), ignorenulls=True).over(so_far),
             "base_here": F.expr(
                 "lead(case when fact = 'net' then value end) ignore nulls over "
-                f"(partition by doc_id, page order by {', '.join(_FACT_ORDER)})"
+                f"(partition by {', '.join(keys)}, page order by {', '.join(_FACT_ORDER)})"
             ),
         }
     )
@@ -211,20 +212,22 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
     def names(condition: Column) -> Column:
         return F.count(F.when(is_name & condition, 1))
 
-    nested = [c for c in local.columns if c not in ("doc_id", "page")]
-    pages = local.groupBy("doc_id", "page").agg(
+    nested = [c for c in local.columns if c not in (*keys, "page")]
+    pages = local.groupBy(*keys, "page").agg(
         F.collect_list(F.struct(*nested)).alias("facts"),
         F.max(F.when(F.col("fact") == "opens", at))["value"].alias("opened_last"),
         F.min(F.when(F.col("fact") == "net", at))["value"].alias("first_base"),
         names(here[None]).alias("names_unopened"),
         *[names(here[x]).alias(f"names_{x}") for x in _SECTIONS],
     )
-    by_page = Window.partitionBy("doc_id").orderBy("page")
+    by_page = Window.partitionBy(*keys).orderBy("page")
     before = by_page.rowsBetween(Window.unboundedPreceding, -1)
     carried = pages.withColumns(
         {
             "section_before": F.last("opened_last", ignorenulls=True).over(before),
-            "base_after": F.expr("lead(first_base) ignore nulls over (partition by doc_id order by page)"),
+            "base_after": F.expr(
+                f"lead(first_base) ignore nulls over (partition by {', '.join(keys)} order by page)"
+            ),
         }
     )
 
@@ -233,7 +236,7 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
 
     counts = {x: F.coalesce(F.sum(F.col(f"names_{x}") + inherited(x)).over(before), F.lit(0)) for x in _SECTIONS}
     unfolded = carried.withColumns({f"{x}_before": n for x, n in counts.items()}).select(
-        "doc_id", "page", "section_before", "base_after", "names_unopened",
+        *keys, "page", "section_before", "base_after", "names_unopened",
         *[f"{x}_before" for x in _SECTIONS], F.inline("facts"),
     )
 
@@ -253,8 +256,8 @@ def _in_reading_order(facts: DataFrame) -> DataFrame:
     )
 
 
-def _first_findings(ordered: DataFrame, names_per_section: int) -> DataFrame:
-    """One row per document with the first finding of each field.
+def _first_findings(ordered: DataFrame, names_per_section: int, keys: tuple = DOCUMENT) -> DataFrame:
+    """One row per document (or other ``keys``) with the first finding of each field.
 
     Grouping goes by (document, rate) and then by document; a document has at
     most as many groups as there are rates with two decimals between 1 and 27.
@@ -279,10 +282,10 @@ def _first_findings(ordered: DataFrame, names_per_section: int) -> DataFrame:
             ),
         )
     )
-    by_rate = ordered.groupBy("doc_id", "rate").agg(
+    by_rate = ordered.groupBy(*keys, "rate").agg(
         *[expr.alias(name) for name, expr in fields.items()], tax_line.alias("tax_line")
     )
-    return by_rate.groupBy("doc_id").agg(
+    return by_rate.groupBy(*keys).agg(
         *[F.min(name).alias(name) for name in fields],
         F.array_sort(F.collect_list("tax_line")).alias("rates"),
     )
@@ -304,6 +307,15 @@ def document_findings(
     return _settle(_first_findings(findings_in_order(blocks), names_per_section), names_per_section)
 
 
+def findings_by_source(
+    blocks: DataFrame, names_per_section: int = fv.NAMES_KEPT_PER_SECTION
+) -> DataFrame:
+    """First findings of every document in the blocks of each source, so that sources can compete."""
+    keys = (*DOCUMENT, "source")
+    ordered = _in_reading_order(block_facts(blocks), keys)
+    return _settle(_first_findings(ordered, names_per_section, keys), names_per_section).drop("source")
+
+
 def _settle(first: DataFrame, names_per_section: int) -> DataFrame:
     """Totals found after the gross block do not count; the better of two names wins."""
 

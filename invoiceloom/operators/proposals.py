@@ -183,9 +183,32 @@ def model_reasons(
     )
 
 
-def response_signals(responses: DataFrame) -> DataFrame:
-    """What finished responses say about the need for a model, and the reasons."""
-    signals = responses.withColumns(
+def ocr_quality(documents: DataFrame, ocr_lines: DataFrame, fewest: int = fv.OCR_LINES_BELOW) -> DataFrame:
+    """Per scanned or hybrid document (doc_id, kind): lines read, their mean confidence, and whether they are too few."""
+    read = ocr_lines.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("ocr_lines"), F.avg("confidence").alias("ocr_confidence")
+    )
+    scans = documents.filter(F.col("kind").isin("scanned", "hybrid")).select("doc_id")
+    lines = F.coalesce("ocr_lines", F.lit(0))
+    return scans.join(read, "doc_id", "left").select(
+        "doc_id", lines.alias("ocr_lines"), "ocr_confidence", (lines < fewest).alias("low_ocr")
+    )
+
+
+def _with_quality(rows: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """``rows`` with ``low_ocr``; false for documents that no OCR was asked for."""
+    if quality is None:
+        return rows.withColumn("low_ocr", F.lit(False))
+    told = rows.join(quality.select("doc_id", "low_ocr"), "doc_id", "left")
+    return told.withColumn("low_ocr", F.coalesce("low_ocr", F.lit(False)))
+
+
+def response_signals(responses: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """What finished responses say about the need for a model, and the reasons.
+
+    ``quality`` (doc_id, low_ocr) comes from ``ocr_quality``.
+    """
+    signals = _with_quality(responses, quality).withColumns(
         {
             "missing": F.array_compact(F.transform("errors", lambda e: e["field"])),
             "low_fields": F.map_keys(F.map_filter("fields", lambda _, v: v < fv.MODEL_FIELD_BELOW)),
@@ -193,22 +216,50 @@ def response_signals(responses: DataFrame) -> DataFrame:
             "tax_unresolved": F.coalesce(F.size("invoice.tax_lines"), F.lit(-1)) <= 0,
         }
     )
-    return signals.withColumn(
-        "reasons",
-        model_reasons(
-            F.col("missing"),
-            F.col("low_fields"),
-            F.col("global_score"),
-            F.col("is_scanned"),
-            F.col("tax_unresolved"),
-        ),
+    return _with_reasons(signals)
+
+
+def resolution_signals(
+    resolved: DataFrame, documents: DataFrame, candidates: DataFrame, quality: DataFrame | None = None
+) -> DataFrame:
+    """What a resolution says about the need for a model, for every document (doc_id, kind).
+
+    ``resolved`` comes from ``resolve_documents``: required fields it lacks are missing, its
+    ``needs_review`` is low.  Tax lines are unresolved where no candidate names one.  A
+    document without any candidate misses everything and has confidence 0.
+    """
+    lined = (
+        candidates.filter(F.startswith("field_name", F.lit("tax_lines[")))
+        .groupBy("doc_id")
+        .agg(F.lit(True).alias("has_lines"))
+    )
+    met = documents.select("doc_id", "kind").join(resolved, "doc_id", "left").join(lined, "doc_id", "left")
+    required = F.array(*[F.lit(f) for f in fv.REQUIRED_FIELDS])
+    found = F.coalesce(F.map_keys("values"), F.array().cast("array<string>"))
+    signals = _with_quality(met, quality).withColumns(
+        {
+            "missing": F.array_except(required, found),
+            "low_fields": F.coalesce("needs_review", F.array().cast("array<string>")),
+            "global_score": F.coalesce("global_score", F.lit(0.0)),
+            "is_scanned": F.col("kind").isin("scanned", "hybrid"),
+            "tax_unresolved": F.col("has_lines").isNull(),
+        }
     )
+    return _with_reasons(signals)
 
 
-def model_work_list(responses: DataFrame) -> DataFrame:
+def _with_reasons(signals: DataFrame) -> DataFrame:
+    names = ("missing", "low_fields", "global_score", "is_scanned", "tax_unresolved", "low_ocr")
+    return signals.withColumn("reasons", model_reasons(*[F.col(c) for c in names]))
+
+
+def work_list(signals: DataFrame) -> DataFrame:
     """Documents a model should look at, with the reasons."""
-    return (
-        response_signals(responses)
-        .filter(F.size("reasons") > 0)
-        .select("doc_id", F.transform("reasons", lambda r: r["code"]).alias("codes"), "reasons")
+    return signals.filter(F.size("reasons") > 0).select(
+        "doc_id", F.transform("reasons", lambda r: r["code"]).alias("codes"), "reasons"
     )
+
+
+def model_work_list(responses: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The work list told by finished responses."""
+    return work_list(response_signals(responses, quality))
