@@ -451,7 +451,8 @@ JOIN (SELECT doc_id FROM rec_digital) USING (doc_id)""",
 oracle("e1_paired_records", "SELECT invoice_file, invoice_type, doc_id % 7 <> 1 AS has_prediction FROM truth")
 oracle(
     "e2_nested_values",
-    "SELECT invoice_file, customer_tax_id AS expected_id, CASE WHEN doc_id % 7 <> 1 AND doc_id % 14 <> 9 THEN customer_tax_id END AS predicted_id FROM truth",
+    "SELECT invoice_file, customer_tax_id AS expected_id, CASE WHEN doc_id % 7 <> 1 AND doc_id % 14 <> 9 THEN customer_tax_id END AS predicted_id, "
+    "CAST(NULL AS VARCHAR) AS absent, CAST(NULL AS VARCHAR) AS below_text FROM truth",
 )
 
 
@@ -469,10 +470,43 @@ WHEN doc_id % 6 = 2 THEN greatest(0.0, 1 - 5.0 / CAST(gross AS DOUBLE)) ELSE 1 E
 oracle("e5_legal_names", _scores("supplier.legal_name", "customer.legal_name"))
 oracle("e6_tax_lines", _scores("tax_lines"))
 oracle("e7_totals", _scores("totals"))
+_GOT = "CASE WHEN has_prediction AND {0} THEN {1} ELSE '' END"
+_WHY = " ".join(
+    f"WHEN '{path}' THEN 'expected ''' || {true} || ''', got ''' || {_GOT.format(*got)} || ''''"
+    for path, true, *got in (
+        ("invoice_data.number", "number", "true", "CASE WHEN doc_id % 5 = 1 THEN 'X' ELSE number END"),
+        ("invoice_data.issue_date", "CAST(issue_date AS VARCHAR)", "doc_id % 8 <> 3", "CAST(issue_date AS VARCHAR)"),
+        ("supplier.tax_id", "supplier_tax_id", "true", "supplier_tax_id"),
+        ("customer.tax_id", "customer_tax_id", "doc_id % 14 <> 9", "customer_tax_id"),
+    )
+)
 oracle(
     "e8_field_results",
-    """SELECT invoice_file, invoice_type, field_path, matched AS match, round(score, 6) AS score FROM field_scores
-UNION ALL SELECT invoice_file, invoice_type, 'totals.advance_amount', true, 1.0 FROM truth""",
+    f"""SELECT f.invoice_file, f.invoice_type, field_path, matched AS match, round(score, 6) AS score, field_path AS metric,
+CASE WHEN matched THEN '' ELSE CASE field_path {_WHY}
+  WHEN 'tax_lines' THEN CASE WHEN NOT has_prediction OR doc_id % 12 = 7 THEN 'line count mismatch: expected ' || n_lines || ', got 0'
+                             ELSE 'avg_score=' || format('{{:.2f}}%', score * 100) END
+  WHEN 'totals' THEN '' ELSE 'similarity ' || format('{{:.2f}}%', score * 100) END END AS detail
+FROM field_scores f JOIN truth t USING (invoice_file) JOIN (SELECT doc_id, doc_id % 7 <> 1 AS has_prediction FROM ledger) p USING (doc_id)
+JOIN (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) n USING (doc_id)
+UNION ALL SELECT invoice_file, invoice_type, 'totals.advance_amount', true, 1.0, 'exact', 'both null' FROM truth""",
+)
+_SHORT = "regexp_replace({0}, '\\.?0+$', '')"
+oracle(
+    "e8_any_shape",
+    f"""SELECT invoice_file, 'net' AS field_path, doc_id % 4 IN (0, 2) AS match,
+  round(CASE doc_id % 4 WHEN 1 THEN greatest(0.0, 1 - 1.0 / CAST(net AS DOUBLE)) WHEN 3 THEN 0 ELSE 1 END, 6) AS score, 'tolerance' AS metric,
+  CASE doc_id % 4 WHEN 1 THEN 'expected ' || {_SHORT.format('n')} || ', got ' || {_SHORT.format('m')} || ', diff '
+    || CASE length(regexp_extract({_SHORT.format('n')}, '\\.([0-9]+)$', 1)) WHEN 0 THEN '1' WHEN 1 THEN '1.0' ELSE '1.00' END
+  WHEN 3 THEN 'decimal parse error' ELSE '' END AS detail
+FROM (SELECT *, CAST(net AS VARCHAR) AS n, CAST(CAST(net + 1 AS DECIMAL(18,2)) AS VARCHAR) AS m FROM truth)
+UNION ALL SELECT invoice_file, 'note', doc_id % 3 = 0, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN doc_id % 3 = 2 THEN 'tolerance' ELSE 'exact' END,
+  CASE doc_id % 3 WHEN 1 THEN 'expected ''' || number || ''', got ''other''' WHEN 2 THEN 'decimal parse error' ELSE '' END FROM truth
+UNION ALL SELECT invoice_file, 'lines', doc_id % 5 <> 2, CASE WHEN doc_id % 5 <> 2 THEN 1 ELSE 0 END, 'structural',
+  CASE WHEN doc_id % 5 = 2 THEN 'mismatch: <class ''list''> vs <class ''list''>' ELSE '' END FROM truth
+UNION ALL SELECT invoice_file, 'nothing', true, 1, 'exact', 'both null' FROM truth
+UNION ALL SELECT invoice_file, 'deep.place', doc_id % 7 <> 3, CASE WHEN doc_id % 7 <> 3 THEN 1 ELSE 0 END, CASE WHEN doc_id % 7 = 3 THEN 'structural' ELSE 'exact' END,
+  CASE WHEN doc_id % 7 = 3 THEN 'mismatch: <class ''str''> vs <class ''NoneType''>' ELSE '' END FROM truth""",
 )
 oracle(
     "e9_invoice_scores",

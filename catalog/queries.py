@@ -1048,8 +1048,10 @@ def e2_nested_values(spark, sf):
     p = pairs(spark, sf)
     return p.select(
         "invoice_file",
-        ev.nested("expected", "customer.tax_id").alias("expected_id"),
-        ev.nested("predicted", "customer.tax_id").alias("predicted_id"),
+        ev.nested(p, "expected", "customer.tax_id").alias("expected_id"),
+        ev.nested(p, "predicted", "customer.tax_id").alias("predicted_id"),
+        ev.nested(p, "expected", "customer.address.city").alias("absent"),
+        ev.nested(p, "predicted", "invoice_data.number.part").alias("below_text"),
     )
 
 
@@ -1100,7 +1102,15 @@ def e8_field_results(spark, sf):
     p = pairs(spark, sf)
     extra = ev.evaluate_fields(p, ("totals.advance_amount",))
     return ev.evaluate_fields(p).unionByName(extra).select(
-        "invoice_file", "invoice_type", "field_path", "match", near("score").alias("score")
+        "invoice_file", "invoice_type", "field_path", "match", near("score").alias("score"), "metric", "detail"
+    )
+
+
+@query
+def e8_any_shape(spark, sf):
+    """Records as JSON of any shape: fields without an evaluator are compared by the types of their values."""
+    return ev.evaluate_fields(ren.loose_records(invoices(spark, sf)), ren.LOOSE_PATHS).select(
+        "invoice_file", "field_path", "match", near("score").alias("score"), "metric", "detail"
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fv
 from .. import schemas
 from ..functions import normalize_legal_name, plain_rate
+from ..sources.landed import file_key
 
 DECIMAL = "decimal(28,6)"
 
@@ -37,34 +38,67 @@ def _blank(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-def verdict(match: Column, score: Column) -> Column:
+def verdict(match: Column, score: Column, detail: Column | None = None) -> Column:
+    """What an evaluator says: match, score, and why a value does not match."""
+    match = F.coalesce(match, F.lit(False))
+    told = F.lit("") if detail is None else F.when(match, F.lit("")).otherwise(F.coalesce(detail, F.lit("")))
     return F.struct(
-        F.coalesce(match, F.lit(False)).alias("match"),
+        match.alias("match"),
         F.coalesce(score, F.lit(0.0)).cast("double").alias("score"),
+        told.alias("detail"),
     )
 
 
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit("'"), text, F.lit("'"))
+
+
+def _expected_got(expected: Column, predicted: Column) -> Column:
+    return F.concat(F.lit("expected "), expected, F.lit(", got "), predicted)
+
+
+def _percent(share: Column) -> Column:
+    return F.format_string("%.2f%%", share * 100)
+
+
 def exact_match(expected: Column, predicted: Column) -> Column:
     same = _blank(expected) == _blank(predicted)
-    return verdict(same, same.cast("double"))
+    detail = _expected_got(_quoted(_blank(expected)), _quoted(_blank(predicted)))
+    return verdict(same, same.cast("double"), detail)
+
+
+def _places(text: Column) -> Column:
+    """Decimal places a number is written with, six at most."""
+    return F.least(F.length(F.regexp_extract(text, r"\.([0-9]+)\s*$", 1)), F.lit(6))
+
+
+def _with_places(number: Column, places: Column) -> Column:
+    """A number of six places cut to fewer."""
+    text = number.cast("string")
+    return F.left(text, F.length(text) - F.when(places > 0, 6 - places).otherwise(7))
 
 
 def amount_match(expected: Column, predicted: Column, tolerance=fv.MONEY_TOLERANCE) -> Column:
     """Within the tolerance: 1; else what is left after the relative difference."""
     e, p = expected.try_cast(DECIMAL), predicted.try_cast(DECIMAL)
-    diff = F.abs(e - p)
+    diff = F.abs(e - p).cast(DECIMAL)
     near = diff <= F.lit(str(tolerance)).cast("decimal(9,4)")
     relative = F.when(e == 0, F.lit(0.0)).otherwise(
         F.greatest(F.lit(0.0), 1 - diff.cast("double") / F.abs(e).cast("double"))
     )
-    return verdict(near, F.when(near, F.lit(1.0)).otherwise(relative))
+    shown = [x.cast("string") for x in (expected, predicted)]
+    places = F.greatest(_places(shown[0]), _places(shown[1]))
+    detail = F.when(diff.isNull(), F.lit("decimal parse error")).otherwise(
+        F.concat(_expected_got(*shown), F.lit(", diff "), _with_places(diff, places))
+    )
+    return verdict(near, F.when(near, F.lit(1.0)).otherwise(relative), detail)
 
 
 def name_match(expected: Column, predicted: Column, ratio: Column) -> Column:
     """Equal after normalising, or similar enough; ``ratio`` is asked for unequal names only."""
     same = normalize_legal_name(_blank(expected)) == normalize_legal_name(_blank(predicted))
     score = F.when(same, F.lit(1.0)).otherwise(ratio)
-    return verdict(score >= fv.NAME_RATIO_MIN, score)
+    return verdict(score >= fv.NAME_RATIO_MIN, score, F.concat(F.lit("similarity "), _percent(score)))
 
 
 def name_ratio(expected: Column, predicted: Column) -> Column:
@@ -106,7 +140,11 @@ def tax_lines_match(expected: Column, predicted: Column, tolerance=fv.MONEY_TOLE
         .when(F.size(e) == 0, F.lit(1.0))
         .otherwise(total / F.size(e))
     )
-    return verdict(score == 1.0, score)
+    counts = _expected_got(F.size(e).cast("string"), F.size(p).cast("string"))
+    detail = F.when(F.size(e) != F.size(p), F.concat(F.lit("line count mismatch: "), counts)).otherwise(
+        F.concat(F.lit("avg_score="), _percent(score))
+    )
+    return verdict(score == 1.0, score, detail)
 
 
 def totals_match(expected: Column, predicted: Column) -> Column:
@@ -121,20 +159,76 @@ def totals_match(expected: Column, predicted: Column) -> Column:
     return verdict(every, (parts[0] + parts[1] + parts[2]) / 3)
 
 
+def as_variant(df: DataFrame, record: str) -> Column:
+    """A record of any shape: a struct, a VARIANT, or JSON text (NULL where it isn't JSON)."""
+    kind = df.schema[record].dataType
+    if isinstance(kind, T.VariantType):
+        return F.col(record)
+    return F.try_parse_json(record) if isinstance(kind, T.StringType) else F.to_variant_object(F.col(record))
+
+
+def _json_path(path: str) -> str:
+    return "$" + "".join(f"['{step}']" for step in path.split("."))
+
+
+def nested(df: DataFrame, record: str, path: str) -> Column:
+    """Value at a dotted path of a record; NULL when any step is missing, also from the schema.
+
+    Records that are no structs give text.
+    """
+    kind = df.schema[record].dataType
+    if not isinstance(kind, T.StructType):
+        return F.try_variant_get(as_variant(df, record), _json_path(path), "string")
+    value = F.col(record)
+    for step in path.split("."):
+        if not isinstance(kind, T.StructType) or step not in kind.names:
+            return F.lit(None).cast("string")
+        kind, value = kind[step].dataType, value[step]
+    return value
+
+
+# What a value's type is called in details.
+_TYPE_NAMES = {
+    "NoneType": ("VOID",), "str": ("STRING",), "int": ("BIGINT",), "float": ("DOUBLE", "FLOAT", "DECIMAL"), "bool": ("BOOLEAN",),
+    "list": ("ARRAY",), "dict": ("OBJECT",),
+}
+
+
+def _type_name(value: Column) -> Column:
+    """Name of the type of a VARIANT; a missing value is NoneType."""
+    kind = F.schema_of_variant(value)
+    name = F.lit("NoneType")
+    for known, starts in _TYPE_NAMES.items():
+        for start in starts:
+            name = F.when(F.startswith(kind, F.lit(start)), known).otherwise(name)
+    return name
+
+
 def fallback_match(expected: Column, predicted: Column) -> Column:
-    """For fields without an evaluator: both missing match, numbers within the tolerance, else equal."""
-    numeric = expected.try_cast(DECIMAL).isNotNull() & predicted.try_cast(DECIMAL).isNotNull()
-    same = expected == predicted
-    return (
-        F.when(expected.isNull() & predicted.isNull(), verdict(F.lit(True), F.lit(1.0)))
-        .when(numeric, amount_match(expected, predicted))
-        .otherwise(verdict(same, same.cast("double")))
-    )
+    """For fields without an evaluator, by the types of two VARIANT values; adds the ``metric`` used.
+
+    Both missing match; two texts are compared as they are; where one is a number both count
+    as amounts; everything else matches if it is the same JSON.
+    """
+    kinds = _type_name(expected), _type_name(predicted)
+    texts = [F.try_variant_get(v, "$", "string") for v in (expected, predicted)]
+    numbers = ("int", "float", "bool")
+    same = F.to_json(expected).eqNullSafe(F.to_json(predicted)) & (kinds[0] == kinds[1])
+    mismatch = F.concat(F.lit("mismatch: <class '"), kinds[0], F.lit("'> vs <class '"), kinds[1], F.lit("'>"))
 
+    def told(metric: str, found: Column) -> Column:
+        return F.struct(*[found[c].alias(c) for c in ("match", "score", "detail")], F.lit(metric).alias("metric"))
 
-def nested(record: str, path: str) -> Column:
-    """Value at a dotted path of a record; NULL when any step is missing."""
-    return F.col(f"{record}.{path}")
+    def both(name: str) -> Column:
+        return (kinds[0] == name) & (kinds[1] == name)
+
+    none = F.struct(F.lit(True).alias("match"), F.lit(1.0).alias("score"), F.lit("both null").alias("detail"))
+    return (
+        F.when(both("NoneType"), told("exact", none))
+        .when(both("str"), told("exact", exact_match(*texts)))
+        .when(kinds[0].isin(*numbers) | kinds[1].isin(*numbers), told("tolerance", amount_match(*texts)))
+        .otherwise(told("structural", verdict(same, same.cast("double"), mismatch)))
+    )
 
 
 EVALUATORS = {
@@ -155,50 +249,69 @@ def register_evaluator(path: str, evaluator) -> None:
 
 
 def pair_records(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Expected records with their prediction; no prediction is an empty record."""
-    return expected.join(predicted, "invoice_file", "left")
+    """Expected records with their prediction; no prediction is an empty record.
+
+    Predictions are keyed by ``invoice_file``, or as read from files by ``invoice_key``, the
+    name of the invoice without its suffix.
+    """
+    if "invoice_file" in predicted.columns:
+        return expected.join(predicted, "invoice_file", "left")
+    keyed = expected.withColumn("invoice_key", file_key(F.col("invoice_file")))
+    return keyed.join(predicted, "invoice_key", "left")
+
+
+_PARTS_OF = {
+    "tax_lines": "array<struct<tax_rate:string,tax_base:string,tax_amount:string>>",
+    "totals": "struct<net_amount:string,tax_amount:string,gross_amount:string>",
+}
 
 
 def evaluate_fields(pairs: DataFrame, paths=fv.EVALUATED_FIELDS) -> DataFrame:
-    """One row per invoice and field: expected, predicted, match, score.
+    """One row per invoice and field: expected, predicted, match, score, metric, detail.
 
+    Records may be structs, VARIANT or JSON text; a path that one lacks is a missing value.
+    ``metric`` is the path where an evaluator is registered for it, else how the types of
+    the two values were compared; ``detail`` says why a field does not match.
     The ratio of names runs in Python, in batches, and only unequal names reach it.
     """
+    records = ("expected", "predicted")
     ratios = {
         p: f"ratio_{i}" for i, p in enumerate(paths) if EVALUATORS.get(p) is name_match
     }
-    ready = pairs.withColumns(
-        {c: name_ratio(nested("expected", p), nested("predicted", p)) for p, c in ratios.items()}
-    ) if ratios else pairs
+    typed = {r: isinstance(pairs.schema[r].dataType, T.StructType) for r in records}
+
+    def value(record: str, path: str) -> Column:
+        found = nested(pairs, record, path)
+        return found if typed[record] or path not in _PARTS_OF else F.from_json(found, _PARTS_OF[path])
+
+    ready = pairs.withColumns({c: name_ratio(*[value(r, p) for r in records]) for p, c in ratios.items()}) if ratios else pairs
+    if set(paths) - set(EVALUATORS):
+        ready = ready.withColumns({f"variant_{r}": as_variant(pairs, r) for r in records})
 
     def shown(record: str, path: str) -> Column:
-        value = nested(record, path)
-        return F.to_json(value) if path in ("tax_lines", "totals") else value.cast("string")
+        found = nested(pairs, record, path)
+        kind = pairs.select(found.alias("x")).schema["x"].dataType
+        return F.to_json(found) if isinstance(kind, (T.StructType, T.ArrayType)) else found.cast("string")
 
     def row(path: str) -> Column:
-        e, p = nested("expected", path), nested("predicted", path)
-        if path in ratios:
-            found = name_match(e, p, F.col(ratios[path]))
+        if path not in EVALUATORS:
+            found = fallback_match(*[F.try_variant_get(F.col(f"variant_{r}"), _json_path(path), "variant") for r in records])
+            metric = found["metric"]
         else:
-            found = EVALUATORS.get(path, fallback_match)(e, p)
+            e, p = [value(r, path) for r in records]
+            found = name_match(e, p, F.col(ratios[path])) if path in ratios else EVALUATORS[path](e, p)
+            metric = F.lit(path)
         return F.struct(
             F.lit(path).alias("field_path"),
             shown("expected", path).alias("expected_value"),
             shown("predicted", path).alias("predicted_value"),
-            found.alias("found"),
+            found["match"].alias("match"),
+            found["score"].alias("score"),
+            metric.alias("metric"),
+            found["detail"].alias("detail"),
         )
 
-    return ready.select(
-        "invoice_file", "invoice_type", F.inline(F.array(*[row(p) for p in paths]))
-    ).select(
-        "invoice_file",
-        "invoice_type",
-        "field_path",
-        "expected_value",
-        "predicted_value",
-        F.col("found.match").alias("match"),
-        F.col("found.score").alias("score"),
-    )
+    return ready.select("invoice_file", "invoice_type", F.inline(F.array(*[row(p) for p in paths])))
 
 
 def roll_ups(results: DataFrame) -> DataFrame:

@@ -481,3 +481,46 @@ def planned_predictions(invoices: DataFrame) -> DataFrame:
         "doc_id", F.regexp_extract("invoice_file", "[0-9]+", 0).cast("bigint")
     )
     return numbered.filter(doc % 7 != 1).select("invoice_file", changed.alias("predicted"))
+
+LOOSE_PATHS = ("net", "note", "lines", "nothing", "deep.place")
+
+
+def loose_records(invoices: DataFrame) -> DataFrame:
+    """Expected and predicted records as JSON text of no fixed shape.
+
+    doc % 4 tells the prediction's ``net``: 0 the same number, 1 one more, 2 text with the
+    number, 3 missing.  ``note`` differs where doc % 3 = 1 and is a number where doc % 3 = 2,
+    ``lines`` is a list that is cut where doc % 5 = 2, ``deep`` is no record where doc % 7 = 3.
+    """
+    doc = F.col("doc_id")
+    net = F.col("net").cast("string")
+    more = (F.col("net") + 1).cast("decimal(18,2)").cast("string")
+
+    def named(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}": '), value)
+
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    def record(*parts: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+    note = quoted(F.when(doc % 3 == 1, "other").otherwise(F.col("number")))
+    expected = record(
+        named("net", net),
+        named("note", quoted(F.col("number"))),
+        named("lines", F.lit('[1, "b"]')),
+        named("deep", F.lit('{"place": "x"}')),
+    )
+    predicted = record(
+        F.when(doc % 4 != 3, named("net", F.when(doc % 4 == 0, net).when(doc % 4 == 1, more).otherwise(quoted(net)))),
+        named("note", F.when(doc % 3 == 2, F.lit("7")).otherwise(note)),
+        named("lines", F.when(doc % 5 == 2, "[1]").otherwise('[1, "b"]')),
+        named("deep", F.when(doc % 7 == 3, '"text"').otherwise('{"place": "x"}')),
+    )
+    return invoices.select(
+        invoice_file().alias("invoice_file"),
+        F.lit("any").alias("invoice_type"),
+        expected.alias("expected"),
+        predicted.alias("predicted"),
+    )
