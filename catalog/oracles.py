@@ -46,25 +46,25 @@ round(10.0 + (col + 1) * 190.0 / n_parts, 6) AS x1, round(400.0 + ("row" + 1) *
 oracle("s7_model_responses", "SELECT doc_id, 1 AS page, writing = 1 AS fenced FROM asked")
 oracle(
     "s8_expected_records",
-    """SELECT invoice_file, invoice_type, number, supplier_tax_id AS supplier_id,
-(SELECT count(*) FROM lines l WHERE l.doc_id = truth.doc_id) AS n_lines, CAST(gross AS VARCHAR) AS gross_amount FROM truth""",
+    """SELECT invoice_file, invoice_type, number, CAST(issue_date AS VARCHAR) AS issue_date, CAST(NULL AS VARCHAR) AS due_date,
+supplier_tax_id AS supplier_id, supplier_name, customer_tax_id AS customer_id, customer_name, lines_text,
+CAST(net AS VARCHAR) AS net_amount, CAST(tax AS VARCHAR) AS tax_amount, CAST(gross AS VARCHAR) AS gross_amount, CAST(NULL AS VARCHAR) AS withholding_amount
+FROM truth JOIN (SELECT doc_id, string_agg(rate || ':' || base || ':' || amount, ';' ORDER BY line_no) AS lines_text FROM lines GROUP BY doc_id) USING (doc_id)""",
 )
 oracle(
     "s9_prediction_keys",
-    """SELECT 'doc_' || doc_id AS invoice_key, CASE WHEN doc_id % 5 = 1 THEN 'X' ELSE number END AS number,
-CAST(CAST(gross + CASE WHEN doc_id % 6 = 2 THEN 5 ELSE 0 END AS DECIMAL(18,2)) AS VARCHAR) AS gross_amount
+    """SELECT 'doc_' || doc_id AS invoice_key, doc_id % 11 = 3 AS broken, CASE WHEN doc_id % 11 = 3 THEN NULL WHEN doc_id % 5 = 1 THEN 'X' ELSE number END AS number,
+CASE WHEN doc_id % 11 <> 3 THEN CAST(CAST(gross + CASE WHEN doc_id % 6 = 2 THEN 5 ELSE 0 END AS DECIMAL(18,2)) AS VARCHAR) END AS gross_amount
 FROM ledger WHERE doc_id % 7 <> 1""",
 )
-oracle("s10_response_json", "SELECT doc_id, status, global_score, number FROM records")
+_LEVEL = "SELECT '{0}' AS level, {1} AS key, count(*) AS fields, count(*) FILTER (WHERE NOT matched) AS errors, round(avg(score), 6) AS score FROM field_scores"
 oracle(
     "s11_report_levels",
-    """SELECT level, count(*) AS rows, CAST(sum(fields) AS BIGINT) AS fields, CAST(sum(errors) AS BIGINT) AS errors FROM (
-SELECT 'invoice' AS level, count(*) AS fields, count(*) FILTER (WHERE NOT matched) AS errors FROM field_scores GROUP BY invoice_file
-UNION ALL SELECT 'type', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores GROUP BY invoice_type
-UNION ALL SELECT 'field', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores GROUP BY field_path
-UNION ALL SELECT 'all', count(*), count(*) FILTER (WHERE NOT matched) FROM field_scores) GROUP BY level""",
+    " UNION ALL ".join(
+        [_LEVEL.format(n, c) + f" GROUP BY {c}" for n, c in (("invoice", "invoice_file"), ("type", "invoice_type"), ("field", "field_path"))]
+        + [_LEVEL.format(n, "NULL") for n in ("all", "results")]
+    ),
 )
-
 # ---- preparation ------------------------------------------------------------
 _XML = "contains({t}, '<?xml') OR contains(lower({t}), '<facturae') OR contains(lower({t}), '<ubl') OR contains(lower({t}), '<cii')"
 oracle(
@@ -421,6 +421,7 @@ _ALL = f"SELECT doc_id, kind, route, {_FLAT}, needs_review, warnings, errors FRO
 oracle("a1_digital_records", f"{_ALL} rec_digital")
 oracle("a2_ocr_records", f"{_ALL} rec_ocr")
 oracle("a9_corpus_records", f"{_ALL} records")
+oracle("s10_response_json", f"{_ALL} records")
 oracle(
     "a3_paired_tax_lines",
     """SELECT l.doc_id, l.i AS line_no, l.rate_text AS rate, CAST(l.base AS VARCHAR) AS base, CAST(l.amount AS VARCHAR) AS amount
@@ -448,7 +449,10 @@ JOIN (SELECT doc_id FROM rec_digital) USING (doc_id)""",
 )
 
 # ---- evaluation -------------------------------------------------------------
-oracle("e1_paired_records", "SELECT invoice_file, invoice_type, doc_id % 7 <> 1 AS has_prediction FROM truth")
+oracle(
+    "e1_paired_records",
+    "SELECT invoice_file, invoice_type, doc_id % 7 <> 1 AND doc_id % 11 <> 3 AS has_prediction, doc_id % 7 <> 1 AND doc_id % 11 = 3 AS broken FROM truth",
+)
 oracle(
     "e2_nested_values",
     "SELECT invoice_file, customer_tax_id AS expected_id, CASE WHEN doc_id % 7 <> 1 AND doc_id % 14 <> 9 THEN customer_tax_id END AS predicted_id, "

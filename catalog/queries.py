@@ -15,6 +15,7 @@ from invoiceloom.operators import candidates as cand
 from invoiceloom.operators import tax_tables as tt
 from invoiceloom.plans import corpus, proposal_plan, xml_plan
 from invoiceloom.sources import landed, ledger as led, rendered as ren
+from invoiceloom.sources.shared import shared_folder, written
 
 QUERIES: dict = {}
 
@@ -197,22 +198,37 @@ def s7_model_responses(spark, sf):
 
 @query
 def s8_expected_records(spark, sf):
-    """Ground truth written as JSON text and read back with its schema."""
-    record = F.from_json(F.to_json("expected"), schemas.RECORD_TEXT)
-    e = ren.expected_records(invoices(spark, sf)).select("invoice_file", "invoice_type", record.alias("e"))
+    """Ground truth written as JSON and read back, whole records."""
+    path = shared_folder(spark, "expected")
+    landed.write_expected(ren.expected_records(invoices(spark, sf)), path)
+    e = landed.read_expected(spark, path, lines=True)
+    lines = F.transform("expected.tax_lines", lambda x: F.concat_ws(":", x["tax_rate"], x["tax_base"], x["tax_amount"]))
+    r = "expected"
     return e.select(
-        "invoice_file", "invoice_type", F.col("e.invoice_data.number").alias("number"),
-        F.col("e.supplier.tax_id").alias("supplier_id"), F.size("e.tax_lines").alias("n_lines"),
-        F.col("e.totals.gross_amount").alias("gross_amount"),
+        "invoice_file", "invoice_type", f"{r}.invoice_data.number", f"{r}.invoice_data.issue_date",
+        f"{r}.invoice_data.due_date", F.col(f"{r}.supplier.tax_id").alias("supplier_id"),
+        F.col(f"{r}.supplier.legal_name").alias("supplier_name"), F.col(f"{r}.customer.tax_id").alias("customer_id"),
+        F.col(f"{r}.customer.legal_name").alias("customer_name"), F.array_join(lines, ";").alias("lines_text"),
+        *[f"{r}.totals.{t}" for t in ("net_amount", "tax_amount", "gross_amount", "withholding_amount")],
     )
 
 
+def _prediction_files(spark, sf):
+    """Predictions written and read back; every eleventh is cut off, those of doc % 7 = 1 are missing."""
+    planned = ren.planned_predictions(invoices(spark, sf))
+    whole = F.to_json("predicted")
+    doc = F.regexp_extract("invoice_file", "[0-9]+", 0).cast("bigint")
+    text_ = F.when(doc % 11 == 3, F.left(whole, F.length(whole) - 5)).otherwise(whole)
+    folder = shared_folder(spark, "predictions")
+    landed.write_predicted(planned.select("invoice_file", text_.alias("text")), folder)
+    return landed.read_predicted(spark, folder, bulk=True)
+
+
 @query
 def s9_prediction_keys(spark, sf):
-    """Predictions keyed by the name of their invoice without suffix."""
-    p = ren.planned_predictions(invoices(spark, sf))
-    return p.select(
-        landed.file_key(F.col("invoice_file")).alias("invoice_key"),
+    """Predictions read from JSON by the name of their invoice; broken ones are told."""
+    return _prediction_files(spark, sf).select(
+        "invoice_key", F.col("broken").isNotNull().alias("broken"),
         F.col("predicted.invoice_data.number").alias("number"),
         F.col("predicted.totals.gross_amount").alias("gross_amount"),
     )
@@ -220,24 +236,27 @@ def s9_prediction_keys(spark, sf):
 
 @query
 def s10_response_json(spark, sf):
-    """Responses as JSON text, read back by path."""
-    t = corpus_tables(spark, sf)
-    shaped = landed.response_json(corpus.extract_invoices(t))
-    j = shaped.select("doc_id", F.to_json(F.struct(*[c for c in shaped.columns if c != "doc_id"])).alias("j"))
-    return j.select(
-        "doc_id",
-        F.get_json_object("j", "$.status").alias("status"),
-        near(F.get_json_object("j", "$.confidence.global").cast("double")).alias("global_score"),
-        F.get_json_object("j", "$.invoice.invoice_data.number").alias("number"),
-    )
+    """Responses written as JSON for a run, twice, and read back whole."""
+    path = shared_folder(spark, "responses")
+    responses = written(corpus.extract_invoices(corpus_tables(spark, sf)), "extracted")
+    for run in ("other", "this", "this"):
+        landed.write_responses(responses.filter(F.col("route") == "xml") if run == "other" else responses, path, run_id=run)
+    return flat(landed.read_responses(spark, path, "this"), "kind", "route")
 
 
 @query
 def s11_report_levels(spark, sf):
-    levels = ev.roll_ups(field_results(spark, sf))
-    return levels.groupBy("level").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("fields").alias("fields"), F.sum("errors").alias("errors")
+    """A report written for a run, twice, and read back: every row of its levels."""
+    folder = shared_folder(spark, "report")
+    results = field_results(spark, sf)
+    for _ in range(2):
+        landed.write_report(results, ev.roll_ups(results), folder, "this")
+    fields, levels = landed.read_report(spark, folder, "this")
+    counted = fields.agg(
+        F.lit("results").alias("level"), F.lit(None).cast("string").alias("key"), F.count(F.lit(1)).alias("fields"),
+        F.count(F.when(~F.col("match"), 1)).alias("errors"), F.avg("score").alias("score"),
     )
+    return levels.select("level", "key", "fields", "errors", "score").unionByName(counted).withColumn("score", near("score"))
 
 
 # ---- preparation ------------------------------------------------------------
@@ -1038,8 +1057,10 @@ def v5_all_warnings(spark, sf):
 # ---- evaluation -------------------------------------------------------------
 @query
 def e1_paired_records(spark, sf):
-    return pairs(spark, sf).select(
-        "invoice_file", "invoice_type", F.col("predicted").isNotNull().alias("has_prediction")
+    """Ground truth beside predictions read from files; a broken file is no prediction."""
+    p = ev.pair_records(ren.expected_records(invoices(spark, sf)), _prediction_files(spark, sf))
+    return p.select(
+        "invoice_file", "invoice_type", F.col("predicted").isNotNull().alias("has_prediction"), F.col("broken").isNotNull().alias("broken")
     )
 
 

@@ -164,7 +164,7 @@ def as_variant(df: DataFrame, record: str) -> Column:
     kind = df.schema[record].dataType
     if isinstance(kind, T.VariantType):
         return F.col(record)
-    return F.try_parse_json(record) if isinstance(kind, T.StringType) else F.to_variant_object(F.col(record))
+    return F.try_parse_json(F.col(record) if isinstance(kind, T.StringType) else F.to_json(record))
 
 
 def _json_path(path: str) -> str:
@@ -187,42 +187,43 @@ def nested(df: DataFrame, record: str, path: str) -> Column:
     return value
 
 
-# What a value's type is called in details.
+# What a value's type is called in details, by the start of its VARIANT type.
 _TYPE_NAMES = {
-    "NoneType": ("VOID",), "str": ("STRING",), "int": ("BIGINT",), "float": ("DOUBLE", "FLOAT", "DECIMAL"), "bool": ("BOOLEAN",),
-    "list": ("ARRAY",), "dict": ("OBJECT",),
+    "VOID": "NoneType", "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "DECIMAL": "float",
+    "BOOLEAN": "bool", "ARRAY": "list", "OBJECT": "dict",
 }
 
 
-def _type_name(value: Column) -> Column:
-    """Name of the type of a VARIANT; a missing value is NoneType."""
-    kind = F.schema_of_variant(value)
-    name = F.lit("NoneType")
-    for known, starts in _TYPE_NAMES.items():
-        for start in starts:
-            name = F.when(F.startswith(kind, F.lit(start)), known).otherwise(name)
-    return name
+def value_facts(value: Column) -> Column:
+    """What comparing a VARIANT by its type takes: kind, text, json; a missing value is a NoneType."""
+    names = F.create_map(*[F.lit(x) for pair in _TYPE_NAMES.items() for x in pair])
+    kind = F.try_element_at(names, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
+    return F.struct(
+        F.coalesce(kind, F.lit("NoneType")).alias("kind"),
+        F.try_variant_get(value, "$", "string").alias("text"),
+        F.to_json(value).alias("json"),
+    )
 
 
 def fallback_match(expected: Column, predicted: Column) -> Column:
-    """For fields without an evaluator, by the types of two VARIANT values; adds the ``metric`` used.
+    """For fields without an evaluator, by the types of two values (``value_facts``); adds the ``metric`` used.
 
     Both missing match; two texts are compared as they are; where one is a number both count
     as amounts; everything else matches if it is the same JSON.
     """
-    kinds = _type_name(expected), _type_name(predicted)
-    texts = [F.try_variant_get(v, "$", "string") for v in (expected, predicted)]
+    kinds = expected["kind"], predicted["kind"]
     numbers = ("int", "float", "bool")
-    same = F.to_json(expected).eqNullSafe(F.to_json(predicted)) & (kinds[0] == kinds[1])
+    same = expected["json"].eqNullSafe(predicted["json"]) & (kinds[0] == kinds[1])
     mismatch = F.concat(F.lit("mismatch: <class '"), kinds[0], F.lit("'> vs <class '"), kinds[1], F.lit("'>"))
 
     def told(metric: str, found: Column) -> Column:
-        return F.struct(*[found[c].alias(c) for c in ("match", "score", "detail")], F.lit(metric).alias("metric"))
+        return F.struct(found.alias("found"), F.lit(metric).alias("metric"))
 
     def both(name: str) -> Column:
         return (kinds[0] == name) & (kinds[1] == name)
 
     none = F.struct(F.lit(True).alias("match"), F.lit(1.0).alias("score"), F.lit("both null").alias("detail"))
+    texts = expected["text"], predicted["text"]
     return (
         F.when(both("NoneType"), told("exact", none))
         .when(both("str"), told("exact", exact_match(*texts)))
@@ -285,8 +286,12 @@ def evaluate_fields(pairs: DataFrame, paths=fv.EVALUATED_FIELDS) -> DataFrame:
         return found if typed[record] or path not in _PARTS_OF else F.from_json(found, _PARTS_OF[path])
 
     ready = pairs.withColumns({c: name_ratio(*[value(r, p) for r in records]) for p, c in ratios.items()}) if ratios else pairs
-    if set(paths) - set(EVALUATORS):
+    loose = [p for p in paths if p not in EVALUATORS]
+    if loose:
         ready = ready.withColumns({f"variant_{r}": as_variant(pairs, r) for r in records})
+        at = lambda r, p: F.try_variant_get(F.col(f"variant_{r}"), _json_path(p), "variant")
+        ready = ready.withColumns({f"facts_{r}_{i}": value_facts(at(r, p)) for i, p in enumerate(loose) for r in records})
+        ready = ready.withColumns({f"compared_{i}": fallback_match(*[F.col(f"facts_{r}_{i}") for r in records]) for i in range(len(loose))})
 
     def shown(record: str, path: str) -> Column:
         found = nested(pairs, record, path)
@@ -295,8 +300,8 @@ def evaluate_fields(pairs: DataFrame, paths=fv.EVALUATED_FIELDS) -> DataFrame:
 
     def row(path: str) -> Column:
         if path not in EVALUATORS:
-            found = fallback_match(*[F.try_variant_get(F.col(f"variant_{r}"), _json_path(path), "variant") for r in records])
-            metric = found["metric"]
+            compared = F.col(f"compared_{loose.index(path)}")
+            found, metric = compared["found"], compared["metric"]
         else:
             e, p = [value(r, path) for r in records]
             found = name_match(e, p, F.col(ratios[path])) if path in ratios else EVALUATORS[path](e, p)
