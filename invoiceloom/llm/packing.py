@@ -45,6 +45,8 @@ WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 class WordEncoder:
     """Ids of words that white space separates, from a tokenizer whose tokens never reach across white space.
 
+    The tokenizer is used as it is: the strings of its added tokens become their ids, also inside a word.
+
     The tokenizer gets a distinct word once for as long as the bounded cache holds it; a text is the concatenation of its words. New words go
     to the tokenizer many at a time, with a mark between them whose id tells where one ends.
     """
@@ -54,7 +56,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark_id = mark[0] if len(mark) == 1 else None
         self.cache: dict[str, bytes] = {}
@@ -308,15 +309,20 @@ def packed_documents(
     Other columns of ``df`` are not looked at.
     """
     pieces = piece_rows(df, tokenizer_path, id_column, text_column, length)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    kept = written(salted, "pieces")  # small rows; the texts are encoded once
-    counted = kept.groupBy("length", "salt").count().collect()  # at most length * SALTS rows
+    salt = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
+    kept = written(pieces.withColumn("salt", salt).withColumn("number", F.monotonically_increasing_id()), "pieces")  # small rows; the texts are encoded once
+    # a full piece is a sequence of its own: the commonest length needs neither plan nor rank
+    full, partly = kept.where(F.col("length") == length), kept.where(F.col("length") < length)
+    counted = partly.groupBy("length", "salt").count().collect()  # at most length * SALTS rows
     counts = np.zeros((length + 1, SALTS), np.int64)
     for row in counted:
         counts[row["length"], row["salt"]] = row["count"]
     before = np.cumsum(counts, axis=1) - counts
     plan = plan_sequences({x: int(n) for x, n in enumerate(counts.sum(axis=1)) if n}, length)
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1
-    ranked = kept.withColumn("rank", rank.cast("long"))
+    ranked = partly.withColumn("rank", rank.cast("long"))
     placed = ranked.withColumn("place", place_columns(plan, before, F.col("length"), F.col("salt"), F.col("rank")))
-    return placed.select(F.col("id").alias(id_column), "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset")
+    columns = [F.col("id").alias(id_column), "piece", "start", "length", "ids_crc32"]
+    first = sum(n for n, _ in plan)
+    alone = full.select(*columns, (F.col("number") + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.select(*columns, "place.sequence_id", "place.offset").unionByName(alone)

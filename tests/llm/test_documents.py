@@ -118,7 +118,8 @@ def test_packing(spark, documents):
 
     path = tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    special = [(200, "a <|endoftext|> b"), (201, "x<|startoftext|>y<|endoftext|><|ENDOFTEXT|> <|endoftext"), (202, "one two " * 2047), (203, "one " * 4095)]
+    documents = documents.select("doc_id", "text").union(spark.createDataFrame(special, "doc_id long, text string"))
     want = collections.Counter()
     for i, text in plain(documents):
         ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
