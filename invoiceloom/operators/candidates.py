@@ -427,6 +427,14 @@ def candidates(findings: DataFrame) -> DataFrame:
     )
 
 
+def candidate_count(findings: DataFrame) -> Column:
+    """How many candidates a row of findings gives, without unfolding them."""
+    names = [f"{x}_name_{i}" for x in _SECTIONS for i in range(1, sum(c.startswith("supplier_name_") for c in findings.columns) + 1)]
+    single = [F.col(c).isNotNull().cast("int") for c in (*_FIRST_FIELDS, *names)]
+    lines = F.aggregate("rates", F.lit(0), lambda n, x: n + F.when(x["base"].isNull(), 2).otherwise(3))
+    return sum(single[1:], single[0]) + F.coalesce(lines, F.lit(0))
+
+
 def best_candidates(rows: DataFrame) -> DataFrame:
     """Best candidate per document and field: highest confidence, then first added."""
     best = F.min(

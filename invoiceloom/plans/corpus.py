@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..operators.candidates import document_findings
+from ..operators.candidates import candidate_count, document_findings
+from ..operators.metrics import StageTimes
 from ..operators.prepare import classify, non_blank, ocr_blocks, rejected, route
 from ..sources.shared import written
 from .records import text_records
@@ -77,14 +78,19 @@ def extract_invoices(
     force_ocr: bool = False,
     include_evidence: bool = True,
     routed: DataFrame | None = None,
+    stages: StageTimes | None = None,
 ) -> DataFrame:
     """One response per document of the corpus; ``tables`` holds the five inputs by name.
 
     Routing runs as a job of its own; the rest is one plan.  ``routed`` may bring a routing
-    that was made before.
+    that was made before.  ``stages`` gets a stage "candidates" that counts documents with
+    findings and their candidates while the responses are made.
     """
     routed = routed_documents(tables, force_ocr) if routed is None else routed
     findings = document_findings(routed_blocks(tables, routed).drop("route"))
+    if stages is not None:
+        counts = {"documents": F.count(F.lit(1)), "candidates": F.sum(candidate_count(findings))}
+        findings = stages.watch("candidates", findings, counts)
     met = routed.filter(F.col("route") != "xml").join(findings, "doc_id", "left")
     text = silenced(text_records(met, F.col("route"), include_evidence, "n_lines"))
     xml = xml_branch(routed.filter(F.col("route") == "xml"), tables["attachments"], include_evidence)

@@ -524,3 +524,10 @@ def loose_records(invoices: DataFrame) -> DataFrame:
         expected.alias("expected"),
         predicted.alias("predicted"),
     )
+
+
+def damaged_grids(grids: DataFrame) -> DataFrame:
+    """Tax tables as bad scans give them: nothing legible where doc % 5 = 0, no per cent signs where doc % 7 = 0."""
+    doc = F.col("doc_id")
+    text = F.when(doc % 5 == 0, F.lit(" ")).when(doc % 7 == 0, F.replace("text", F.lit("%"), F.lit(" "))).otherwise(F.col("text"))
+    return grids.withColumn("text", text)
