@@ -45,8 +45,8 @@ def read_predicted(spark: SparkSession, folder: str, bulk: bool = False) -> Data
 
     One JSON file per invoice, named after it, keyed by the name without suffix; ``bulk`` reads
     what ``write_predicted`` wrote, many predictions a file.  A prediction that is no JSON
-    record (cut off, empty, a list) counts as none: its record is NULL and ``broken`` holds
-    the text.
+    record (cut off, a list, plain text) counts as none: its record is NULL and ``broken``
+    holds the text.  An empty file is a missing one.
     """
     if bulk:
         texts = spark.read.schema("invoice_key string, text string").json(folder)
