@@ -37,6 +37,7 @@ BIT_LONGS = 8
 SKETCH_BITS_PER_SHINGLE = 4
 MIDDLE_BYTES = 256
 FILTER_BITS = 24
+ORIGINALS_SEED = 1
 
 
 def most_difference(a: int, b: int, percent: int) -> int:
@@ -161,11 +162,19 @@ def profiles(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.mapInArrow(profile, PROFILE_DDL)
 
 
-def prefix_keys(texts: DataFrame, seen: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(key, id): the rarest ``difference + 1`` part keys of every text in every band it enters."""
+def prefix_keys(texts: DataFrame, seen: np.ndarray, copies: np.ndarray, originals: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(key, id): the rarest ``difference + 1`` part keys of every text in every band it enters.
+
+    Ids in the bitmap ``copies`` and not in the bitmap ``originals`` are left out.
+    """
+
+    def held_in(bitmap: np.ndarray, column: pa.Array) -> np.ndarray:
+        slot = np.asarray(column)
+        return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(~held_in(copies, whole.column(2)) | held_in(originals, whole.column(3))))
             ids = np.asarray(batch.column(0))
             keys, owners, held = [], [], 0
             for i, s in enumerate(shingle_sets(batch.column(1), words)):
@@ -183,7 +192,7 @@ def prefix_keys(texts: DataFrame, seen: np.ndarray, words: int, percent: int) ->
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "id"])
 
-    return texts.mapInArrow(keyed, "key long, id long")
+    return texts.select("id", "text", id_slot(), id_slot(ORIGINALS_SEED)).mapInArrow(keyed, "key long, id long")
 
 
 def few_enough(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent: int) -> Column:
@@ -193,14 +202,14 @@ def few_enough(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent
     return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
 
 
-def id_slot() -> Column:
-    return F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+def id_slot(seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << FILTER_BITS))
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
+def id_filter(ids: DataFrame, seed: int = 0) -> np.ndarray:
     """A bitmap of fixed size that holds the hashes of all given ids."""
     rows = (
-        ids.select(id_slot().alias("slot"))
+        ids.select(id_slot(seed).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("at"))
         .agg(F.expr("bit_or(shiftleft(1L, int(slot & 63)))").alias("bits"))
         .toArrow()
@@ -292,7 +301,12 @@ def similar_documents(
     )
     same = known.join(copies, ["n", "d1", "d2"]).where("id <> first_id").select("id", "first_id").distinct()
 
-    keys = prefix_keys(texts, seen, words, percent)
+    # of equal sets only the first id's goes on: bitmaps leave the others out, and hold back none that is the first of a set
+    roles = known.join(copies, ["n", "d1", "d2"], "left").groupBy("id").agg(F.bool_or(F.coalesce(F.col("first_id") == F.col("id"), F.lit(True))).alias("needed"))
+    roles = written(roles.withColumn("slot", id_slot()), "roles")
+    others = roles.where("not needed")
+    unclear = roles.where("needed").join(others.select("slot").distinct(), "slot", "left_semi")
+    keys = prefix_keys(texts, seen, id_filter(others), id_filter(unclear, ORIGINALS_SEED), words, percent)
     bucket = Window.partitionBy("key")
     met = keys.select(
         "id",
