@@ -38,6 +38,7 @@ SKETCH_BITS_PER_SHINGLE = 4
 MIDDLE_BYTES = 256
 FILTER_BITS = 24
 ORIGINALS_SEED = 1
+FIRST_BUCKETS = 4
 
 
 def most_difference(a: int, b: int, percent: int) -> int:
@@ -281,7 +282,8 @@ def similar_documents(
     """(id, n_shingles, component_id) of every row: size of its set, and the smallest id reachable through similar sets.
 
     Two ids are linked where ``100 * intersection >= percent * union``. First equal sets count as one; then every document is compared with the
-    closest of the smallest documents of its buckets; then all pairs that share a bucket and aren't connected yet are compared. So groups of
+    closest of the smallest documents of its buckets; then all pairs that share a bucket and aren't connected yet are compared, each told by
+    few of the buckets it shares. So groups of
     near copies never meet in pairs, and every link between different texts that could join two components is tested.
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows that repeat an id are texts of that id: it
@@ -335,12 +337,15 @@ def similar_documents(
     open_keys = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = open_keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     several = written(open_keys.join(mixed, "key", "left_semi").select("key", "id", "component"), "buckets")
-    facts = several.join(known.select("id", "n", "bits"), "id")
-    a = facts.select("key", *[F.col(c).alias(f"{c}_u") for c in ("id", "component", "n", "bits")])
-    b = facts.select("key", *[F.col(c).alias(f"{c}_v") for c in ("id", "component", "n", "bits")])
+    # a pair that shares many buckets is told by the first: not where both know an earlier one in common
+    earliest = several.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_BUCKETS).alias("first"))
+    facts = several.join(known.select("id", "n", "bits"), "id").join(earliest, "id")
+    a = facts.select("key", *[F.col(c).alias(f"{c}_u") for c in ("id", "component", "n", "bits", "first")])
+    b = facts.select("key", *[F.col(c).alias(f"{c}_v") for c in ("id", "component", "n", "bits", "first")])
+    earlier = F.exists("first_u", lambda k: (k < a["key"]) & F.array_contains(F.col("first_v"), k))
     cross = a.join(
         b,
-        (a["key"] == b["key"]) & (F.col("component_u") < F.col("component_v"))
+        (a["key"] == b["key"]) & (F.col("component_u") < F.col("component_v")) & ~earlier
         & few_enough(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"), percent),
     )
     several_pairs = cross.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
