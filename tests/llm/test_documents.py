@@ -70,6 +70,25 @@ def test_ngram_join(spark, documents):
     assert ngram_join.similar_documents(documents.limit(0)).count() == 0
 
 
+def test_ids_with_a_copy_and_another_text_keep_all_links(spark):
+    words = lambda start, n=60: [f"w{i}" for i in range(start, start + n)]
+    one, two, three = words(0), words(1000), words(2000)
+    rows = [(1, one), (5, one), (5, two), (3, two[:-3] + ["other"]), (9, three), (8, three), (7, three[2:]), (6, words(3000))]
+    copies = [(100 + i, words(4000)) for i in range(40)] + [(60, words(4002))]
+    near = [(200 + i, words(5000, 50 - 6 * i) + words(6000 + 100 * i, 6 * i)) for i in range(6)]  # each shares buckets, some too far apart
+    table = [(i, " ".join(w)) for i, w in rows + copies + near]
+    got = ngram_join.similar_documents(spark.createDataFrame(table, "doc_id long, text string"))
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in rows + copies + near]
+    root = {i: i for i, _ in sets}
+    for _ in sets:
+        for i, s in sets:
+            for j, t in sets:
+                if 100 * len(s & t) >= 75 * len(s | t):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id: r.component_id for r in got.collect()} == root
+    assert root[3] == root[5] == 1 and root[9] == 7 and root[139] == 60
+
+
 def test_bands_and_sketches_are_lossless():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 4, 7, 20, 63, 64, 65, 200, 255, 256, 300, 1500):
