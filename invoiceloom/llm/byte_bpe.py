@@ -1,8 +1,8 @@
 """Byte-level BPE with built-in functions: higher-order functions fold ranked merges over the bytes of words.
 
-Ranks are a literal: two arrays that make a hash table of fixed size, built from the rank file. The most frequent words of the corpus, a
-bounded number of them, are folded once and become a literal of the same form; every other word is folded where it stands.
-Both ways give the same ids. Decoding puts the bytes of the pieces together again.
+Ranks are a literal of fixed size, built from the rank file: whole numbers that tell for two adjacent pieces which piece they make. The
+most frequent words of the corpus, a bounded number of them, are folded once and become a literal too, a hash table; every other word is
+folded where it stands. Both ways give the same ids. Decoding puts the bytes of the pieces together again.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 from invoiceloom.llm.rows import column, packed, unpacked
 
 FREQUENT_WORDS = 131_000
-NO_RANK = 2**31 - 1
 SPARK_SEED = 42
+LONG_WORD = 256
+FIRST_SIGN = 0x800  # signs of pairs
+NO_PAIR = "\ud7ff"  # sorts after them
+FIRST_PIECE = 0x10000  # signs of pieces
 
 
 def java_pattern(pattern: str) -> str:
@@ -77,54 +81,127 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
 
 
+def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """For each piece of several bytes the two pieces that merges of lower rank leave of it."""
+    out = {}
+    for piece, rank in ranks.items():
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 2:
+            found = [ranks.get(x + y, rank) for x, y in zip(parts, parts[1:])]
+            lowest = min(found)
+            if lowest >= rank:
+                raise ValueError(f"rank {rank} is no merge of two pieces of lower rank")
+            at = found.index(lowest)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            out[rank] = ranks[parts[0]], ranks[parts[1]]
+    return out
+
+
+class PairTable:
+    """From two adjacent pieces to the piece they make, for every split of every piece; a piece is its rank plus 1.
+
+    Each left piece has a place (``base``) from which its right pieces are counted; ``owner`` tells whose left piece an entry is, ``made``
+    the piece of the pair, ``signs`` the sign of that pair.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.end = max(ranks.values()) + 2
+        rows: dict[int, dict[int, int]] = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if left is not None and right is not None:
+                    rows.setdefault(left + 1, {})[right + 1] = rank + 1
+        size = 1 << (2 * sum(map(len, rows.values())) + self.end).bit_length()
+        owner, made, base = np.zeros(size + self.end + 1, int), np.zeros(size + self.end + 1, int), np.zeros(self.end + 1, int)
+        cursor = 0
+        for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+            rights = np.fromiter(row, int)
+            while True:
+                tried = np.arange(cursor, min(cursor + 128, size))
+                fits = np.flatnonzero(~owner[tried[:, None] + rights].any(axis=1))
+                if len(fits):
+                    break
+                cursor = (cursor + 128) % size
+            base[left] = tried[fits[0]]
+            owner[base[left] + rights] = left
+            made[base[left] + rights] = np.fromiter(row.values(), int)
+            cursor = (cursor + 7919) % size
+        numbers = lambda a: F.split(F.lit(" ".join(map(str, a.tolist()))), " ").cast("array<int>")
+        signs = lambda first: F.split(F.lit(" ".join(chr(first + i) for i in range(self.end + 1))), " ")
+        self.literals = {"base": numbers(base), "owner": numbers(owner), "made": numbers(made)}
+        self.literals |= {"signs": signs(FIRST_SIGN), "pieces": signs(FIRST_PIECE)}
+
+    def sign(self, t: Column, left: Column, right: Column) -> Column:
+        place = t["base"][left] + right
+        return F.when(t["owner"][place] == left, t["signs"][t["made"][place]]).otherwise(NO_PAIR)
+
+
 class Encoder:
-    """Expressions for one rank file and word pattern."""
+    """Expressions for one rank file and word pattern; each piece of several bytes has to be a merge of two of lower rank.
+
+    So a merge only makes pairs of higher rank. Words beyond ``LONG_WORD`` bytes rely on it: their merges are made rank by rank, each
+    at all its places at once, which takes time in proportion to the word.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.table = LiteralTable({piece.hex().upper(): str(rank) for piece, rank in ranks.items()}, "0")
-        if self.table.left:
-            raise ValueError("the rank table did not come out whole")
-        self.literals = {"keys": self.table.keys, "ranks": self.table.values.cast("array<int>")}
+        if max(ranks.values()) + 1 + FIRST_SIGN >= ord(NO_PAIR) or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("all bytes need a rank, and ranks end below 53246")
+        self.pairs = PairTable(ranks)
         self.pattern = java_pattern(pattern)
+        sign = lambda rank: chr(FIRST_PIECE + rank + 1)
+        merges = [sign(x) + sign(y) + sign(rank) for rank, (x, y) in sorted(halves(ranks).items())]
+        of_bytes = F.array(*[F.lit(ranks[bytes([b])] + 1) for b in range(256)])
+        self.literals = {**self.pairs.literals, "bytes": of_bytes, "merges": F.split(F.lit(" ".join(merges)), " ")}
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def fold(self, t: Column, word: Column) -> Column:
-        """Ids of a word, joined by one space: the pair of the lowest rank, leftmost first, is merged until none has a rank.
+        """Ids of a word, joined by one space; ``t`` holds the literals. The state of a fold is a string of signs, one for each piece."""
+        of_bytes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: t["bytes"][F.ascii(c)])
+        short = F.get(F.transform(F.array(of_bytes), lambda pieces: self._by_pair(t, pieces)), 0)
+        return F.when(F.octet_length(word) > LONG_WORD, self._by_rank(t, of_bytes)).otherwise(short)
 
-        ``t`` holds the literals. The state is the pieces and the ranks of their pairs; a merge looks up its two neighbours only.
+    def _by_pair(self, t: Column, pieces: Column) -> Column:
+        """The pair of the lowest rank, leftmost first, is merged until none has a rank.
+
+        Between the signs of two pieces stands the sign of what they make; signs of pairs sort by rank and before those of pieces. An
+        end mark stands on both sides.
         """
-        rank = lambda piece: self.table.find(t["keys"], t["ranks"], piece, F.lit(NO_RANK))
-        whole = F.hex(word)
-        parts = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
-        none = F.array().cast("array<int>")
-
-        def merged(state: Column, at: Column) -> Column:
-            p, r, i, piece = state["p"], state["r"], at["i"], at["piece"]
-            before = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), piece)))).otherwise(none)
-            after = F.when(i < F.size(r), F.array(rank(F.concat(piece, F.get(p, i + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(piece), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r))).alias("r"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            lowest = F.array_min(state["r"])
-            i = F.array_position(state["r"], lowest).cast("int")
-            at = F.struct(i.alias("i"), F.concat(F.get(state["p"], i - 1), F.get(state["p"], i)).alias("piece"))
-            return F.when(F.coalesce(lowest, F.lit(NO_RANK)) == NO_RANK, state).otherwise(
-                F.get(F.transform(F.array(at), lambda x: merged(state, x)), 0)
-            )
-
-        def folded(p: Column) -> Column:
-            places = F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(none)
-            pairs = F.transform(places, lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i))))
-            last = F.aggregate(places, F.struct(p.alias("p"), pairs.alias("r")), step, lambda s: s["p"])
-            return F.array_join(F.transform(last, lambda x: rank(x).cast("string")), " ")
-
-        own = rank(whole)
-        return F.when(own != NO_RANK, own.cast("string")).otherwise(F.get(F.transform(F.array(parts), folded), 0))
+        end, sign = chr(FIRST_PIECE + self.pairs.end), self.pairs.sign
+        beside = lambda x, j: F.when(j + 1 < F.size(pieces), sign(t, x, pieces[j + 1])).otherwise(NO_PAIR)
+        start = F.concat(
+            F.lit(end + NO_PAIR), F.array_join(F.transform(pieces, lambda x, j: F.concat(t["pieces"][x], beside(x, j))), ""), F.lit(end)
+        )
+
+        def merged(s: Column, i: Column, v: Column) -> Column:
+            new = F.concat(sign(t, v["left"], v["new"]), t["pieces"][v["new"]], sign(t, v["new"], v["right"]))
+            return F.concat(F.substring(s, 1, i - 3), new, F.substring(s, i + 3, F.length(s)))
+
+        def at(s: Column, lowest: Column, i: Column) -> Column:
+            piece = lambda place: F.ascii(F.substring(s, place, 1)) - FIRST_PIECE
+            one = F.struct(piece(i - 3).alias("left"), (F.ascii(lowest) - FIRST_SIGN).alias("new"), piece(i + 3).alias("right"))
+            return F.get(F.transform(F.array(one), lambda v: merged(s, i, v)), 0)
+
+        def step(s: Column, _: Column) -> Column:
+            place = lambda x: F.array(F.instr(s, x))
+            one = lambda x: F.when(x >= NO_PAIR, s).otherwise(F.get(F.transform(place(x), lambda i: at(s, x, i)), 0))
+            return F.get(F.transform(F.array(F.array_min(F.split(s, ""))), one), 0)
+
+        last = F.aggregate(pieces, start, step)
+        return F.get(F.transform(F.array(F.split(F.translate(last, end + NO_PAIR, ""), "")), self._ids), 0)
+
+    def _by_rank(self, t: Column, pieces: Column) -> Column:
+        """The same for long words: each merge of the rank file, in order, is replaced at all its places."""
+        signs = F.array_join(F.transform(pieces, lambda p: t["pieces"][p]), "")
+        last = F.aggregate(t["merges"], signs, lambda s, m: F.replace(s, F.substring(m, 1, 2), F.substring(m, 3, 1)))
+        return self._ids(F.split(last, ""))
+
+    @staticmethod
+    def _ids(signs: Column) -> Column:
+        return F.array_join(F.transform(signs, lambda c: (F.ascii(c) - (FIRST_PIECE + 1)).cast("string")), " ")
 
 
 def decoder(ranks_path: str) -> Callable[[Column], Column]:
@@ -153,7 +230,8 @@ def encoded(
 ) -> DataFrame:
     """``df`` with ``ids`` (decimal, joined by one space) and ``n_tokens``; null and empty texts have no ids.
 
-    Each match of the pattern is encoded alone and without special tokens. Columns of ``df`` with these names are replaced.
+    Each match of the pattern is encoded alone and without special tokens. Columns of ``df`` with these names are replaced. Repeated rows
+    each get their ids; an empty table gives an empty one. A word of any length counts as one word.
     """
     encoder = Encoder(read_ranks(ranks_path), pattern)
     body = F.coalesce(column(text_column), F.lit(""))
@@ -162,5 +240,5 @@ def encoded(
     literals = {**encoder.literals, "words": table.keys, "word_ids": table.values}
     one = lambda t, w: table.find(t["words"], t["word_ids"], w, encoder.fold(t, w))
     ids = F.array_join(bound(literals, lambda t: F.transform(encoder.words(F.col("body")), lambda w: one(t, w))), " ")
-    tokens = F.when(F.col("ids") == "", 0).otherwise(F.length(F.regexp_replace("ids", "[0-9]+", "")) + 1)
+    tokens = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.replace(F.col("ids"), F.lit(" "))) + 1)
     return unpacked(rows.withColumn("ids", ids), df.columns, {"ids": F.col("ids"), "n_tokens": tokens.cast("long")})

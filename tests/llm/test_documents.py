@@ -123,13 +123,19 @@ def test_byte_bpe(spark, documents):
     tiktoken = pytest.importorskip("tiktoken")
     path = tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    few = documents.where("doc_id is null or doc_id > 55").where("coalesce(doc_id, 0) <> 101").coalesce(2)
+    rng = random.Random(4)
+    long = [(300, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8_000))), (301, "ab" * 400 + " é漢😀" * 90 + "!" * 256 + " " + "?" * 257)]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in long], documents.schema)
+    few = documents.where("doc_id is null or doc_id > 55").union(more).coalesce(2)
     want = collections.Counter((i, " ".join(map(str, own.encode_ordinary(t))), t.encode()) for i, t in plain(few))
     for frequent in (0, 40):
         out = byte_bpe.encoded(few, path, tokenizers.PATTERN, frequent=frequent)
         told = out.select("doc_id", "ids", "n_tokens", "score", byte_bpe.decoder(path)(F.col("ids")).alias("raw")).collect()
         assert collections.Counter((r.doc_id, r.ids, bytes(r.raw)) for r in told) == want
         assert all(r.n_tokens == len(r.ids.split()) for r in told)
+    assert byte_bpe.encoded(documents.limit(0), path, tokenizers.PATTERN, frequent=40).count() == 0
+    with pytest.raises(ValueError, match="no merge"):
+        byte_bpe.halves({b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
 
 
 def test_packing(spark, documents):
