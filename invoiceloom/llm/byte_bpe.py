@@ -99,21 +99,21 @@ def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 
 
 class PairTable:
-    """From two adjacent pieces to the piece they make, for every split of every piece; a piece is its rank plus 1.
+    """From two adjacent pieces to the piece they make; a piece is its rank plus 1.
+
+    Of a piece's splits only its halves can stand side by side: nothing reaches over the ends of two pieces, so between them merges went
+    as for the piece alone, which leaves its halves.
 
     Each left piece has a place (``base``) from which its right pieces are counted; ``owner`` tells whose left piece an entry is, ``made``
     the piece of the pair, ``signs`` the sign of that pair.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], merges: dict[int, tuple[int, int]]):
         self.end = max(ranks.values()) + 2
         rows: dict[int, dict[int, int]] = {}
-        for piece, rank in ranks.items():
-            for k in range(1, len(piece)):
-                left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
-                if left is not None and right is not None:
-                    rows.setdefault(left + 1, {})[right + 1] = rank + 1
-        size = 1 << (2 * sum(map(len, rows.values())) + self.end).bit_length()
+        for rank, (left, right) in merges.items():
+            rows.setdefault(left + 1, {})[right + 1] = rank + 1
+        size = self.end + 2 * len(merges)
         owner, made, base = np.zeros(size + self.end + 1, int), np.zeros(size + self.end + 1, int), np.zeros(self.end + 1, int)
         cursor = 0
         for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
@@ -148,12 +148,14 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if max(ranks.values()) + 1 + FIRST_SIGN >= ord(NO_PAIR) or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("all bytes need a rank, and ranks end below 53246")
-        self.pairs = PairTable(ranks)
+        merges = halves(ranks)
+        self.pairs = PairTable(ranks, merges)
         self.pattern = java_pattern(pattern)
         sign = lambda rank: chr(FIRST_PIECE + rank + 1)
-        merges = [sign(x) + sign(y) + sign(rank) for rank, (x, y) in sorted(halves(ranks).items())]
+        in_order = "".join(sign(x) + sign(y) + sign(rank) for rank, (x, y) in sorted(merges.items())).encode()
+        self.n_merges = len(merges)
         of_bytes = F.array(*[F.lit(ranks[bytes([b])] + 1) for b in range(256)])
-        self.literals = {**self.pairs.literals, "bytes": of_bytes, "merges": F.split(F.lit(" ".join(merges)), " ")}
+        self.literals = {**self.pairs.literals, "bytes": of_bytes, "merges": F.lit(in_order)}
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -196,7 +198,9 @@ class Encoder:
     def _by_rank(self, t: Column, pieces: Column) -> Column:
         """The same for long words: each merge of the rank file, in order, is replaced at all its places."""
         signs = F.array_join(F.transform(pieces, lambda p: t["pieces"][p]), "")
-        last = F.aggregate(t["merges"], signs, lambda s, m: F.replace(s, F.substring(m, 1, 2), F.substring(m, 3, 1)))
+        sign = lambda i, k, n: F.substring(t["merges"], i * 12 + 4 * k + 1, 4 * n).cast("string")
+        places = F.sequence(F.lit(0), F.lit(self.n_merges - 1))
+        last = F.aggregate(places, signs, lambda s, i: F.replace(s, sign(i, 0, 2), sign(i, 2, 1)))
         return self._ids(F.split(last, ""))
 
     @staticmethod
